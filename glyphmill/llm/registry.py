@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing, pii, secretscan, urlfilter
+from . import bpe, exactdedup, mixing, pii, secretscan, simhash, tokenio, urlfilter
 from .oracles import ORACLE_SQL
 
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         urlfilter.op5_url_filter,
         pii.op6_pii_scan,
         bpe.op7_byte_bpe,
+        tokenio.op8_token_files,
+        simhash.op9_simhash,
         mixing.op10_pareto_mix,
     ]
     return {f.__name__: f for f in found}
