@@ -7,7 +7,7 @@ filled by Pareto order sampling: a document with inclusion probability p and a u
 No source is gathered in one task: the rank is monotone in (0, 1), so words are summed by (source, bin of
 rank), a window over the bins of a source finds the bin in which the remainder runs out, and only the
 documents of that one bin are ordered. What is still open is then filled by a few whole documents: in each
-round every source takes its largest untaken document that fits.
+round every source takes its largest untaken document that fits, in the last one the one that comes nearest, above or below.
 
 Edge cases. Null text: size 0. Null source: a source of its own, last. Documents of size 0 are taken 0 times.
 Ties of a draw: by id, then by row content (a repeated row has the same draw and is told apart by a
@@ -54,7 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         .withColumn("open_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.col("open_w"))
     )
-    stops = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(everything)
+    per = per.withColumn("k", F.row_number().over(order))
+    stops = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("k", "level"))).over(everything)["level"]
     target = F.least(F.col("cap"), F.coalesce(stops * F.col("w"), F.col("cap")))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -95,10 +96,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _filled(d: DataFrame) -> DataFrame:
-    """Fill what is open in each source by its largest untaken documents that fit, one a round."""
+    """Fill what is open in each source, a document a round."""
     d = common.written(d.select("doc_id", "source", "size", "row", "source_size", "target", "whole", "rest", "rank", "hit"), "mix-hit")
     extra = None
-    for _ in range(FILL_ROUNDS):
+    for turn in range(FILL_ROUNDS):
         have = d.where("hit = 1").groupBy("source").agg(F.sum("size").alias("have"))
         have = have.select(F.col("source").alias("h_source"), "have")
         state = d.select("source", "rest").where("rest > 0").groupBy("source").agg(F.first("rest").alias("rest"))
@@ -109,8 +110,10 @@ def _filled(d: DataFrame) -> DataFrame:
         free = d.where("hit = 0 and rank is not null").select("source", "size", "doc_id", "row", "rank")
         if extra is not None:
             free = free.join(extra.select(F.col("row").alias("x_row")), F.col("row") == F.col("x_row"), "left_anti")
-        fits = free.join(common.written(state, "mix-open"), F.col("source").eqNullSafe(F.col("s_source"))).where("size <= open")
-        best = fits.groupBy("source").agg(F.max(F.struct("size", (-F.col("rank")).alias("r"), (-F.col("doc_id")).alias("i"), (-F.col("row")).alias("w"))).alias("b"))
+        off = F.abs(F.col("size") - F.col("open"))
+        fits = free.join(common.written(state, "mix-open"), F.col("source").eqNullSafe(F.col("s_source")))
+        fits = fits.where(off < F.col("open") if turn == FILL_ROUNDS - 1 else F.col("size") <= F.col("open"))
+        best = fits.groupBy("source").agg(F.max(F.struct((-off).alias("o"), "size", (-F.col("rank")).alias("r"), (-F.col("doc_id")).alias("i"), (-F.col("row")).alias("w"))).alias("b"))
         pick = best.select("source", F.col("b.size").alias("size"), (-F.col("b.w")).alias("row"))
         extra = pick if extra is None else extra.unionByName(pick)
         extra = common.written(extra, "mix-fill")

@@ -33,8 +33,8 @@ _FILL = """
   SELECT t.source, t.rest - coalesce((SELECT sum(size) FROM h{j} h WHERE h.hit = 1 AND h.source IS NOT DISTINCT FROM t.source), 0) AS open FROM src t
 ), pick{k} AS (
   SELECT doc_id, row FROM (
-    SELECT h.doc_id, h.row, row_number() OVER (PARTITION BY h.source ORDER BY h.size DESC, h.rank, h.doc_id, h.row) AS n
-    FROM h{j} h JOIN open{k} o ON h.source IS NOT DISTINCT FROM o.source WHERE h.hit = 0 AND h.rank IS NOT NULL AND h.size <= o.open
+    SELECT h.doc_id, h.row, row_number() OVER (PARTITION BY h.source ORDER BY abs(h.size - o.open), h.size DESC, h.rank, h.doc_id, h.row) AS n
+    FROM h{j} h JOIN open{k} o ON h.source IS NOT DISTINCT FROM o.source WHERE h.hit = 0 AND h.rank IS NOT NULL AND {fits}
   ) WHERE n = 1
 ), h{k} AS (
   SELECT h.* REPLACE (CASE WHEN p.row IS NOT NULL THEN 1 ELSE h.hit END AS hit) FROM h{j} h LEFT JOIN pick{k} p ON h.row = p.row
@@ -52,10 +52,11 @@ WITH docs AS (
 ), weighed AS (
   SELECT source, source_size, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS w, 3::DOUBLE * source_size AS cap FROM per
 ), levels AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0::DOUBLE)) AS level
-  FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, row_number() OVER o2 AS k, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0::DOUBLE)) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                        o2 AS (ORDER BY cap / w, source NULLS LAST)
 ), goal AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap)) AS target FROM levels
+  SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, k) FROM levels WHERE level <= cap / w) * w, cap)) AS target FROM levels
 ), src AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
          target - (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END) * source_size AS rest FROM goal
@@ -67,7 +68,7 @@ WITH docs AS (
 ), h0 AS (
   SELECT *, CASE WHEN rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, row ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS hit FROM r2
 )"""
-    + "".join(_FILL.format(j=k - 1, k=k) for k in (1, 2, 3))
+    + "".join(_FILL.format(j=k - 1, k=k, fits="abs(h.size - o.open) < o.open" if k == 3 else "h.size <= o.open") for k in (1, 2, 3))
     + """
 SELECT doc_id, size, source_size, target, ((whole + hit) * size)::BIGINT AS taken, (whole + hit)::BIGINT AS copies FROM h3
 """

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing, pii, secretscan, simhash, tokenio, urlfilter
+from . import ann, bpe, exactdedup, mixing, pii, secretscan, simhash, tokenio, toxicity, urlfilter
 from .oracles import ORACLE_SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         exactdedup.op1_exact_dedup,
+        ann.op2_permutation_index,
         secretscan.op3_secret_scan,
+        toxicity.op4_toxicity,
         urlfilter.op5_url_filter,
         pii.op6_pii_scan,
         bpe.op7_byte_bpe,
