@@ -32,9 +32,11 @@ MEMO = 200_000
 LONG = 64
 #: A single space between characters that are no white space always begins a new piece.
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
-DOUBLE = re.compile(r"\s\s|^ | $")
 #: White space as the pattern's own library has it, in place of the class of this one.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space but the space and the newline: in ASCII, and beyond.
+ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def own_pattern(pattern: str) -> str:
@@ -42,9 +44,15 @@ def own_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
+def is_lone(text: str) -> bool:
+    """Whether every space of a text that isn't empty is a lone one, between characters that are no white space."""
+    lone = "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " and text[-1] != " "
+    return lone and not any(c in text for c in ASCII_SPACE) and (text.isascii() or not any(c in text for c in WIDE_SPACE))
+
+
 def chunks(text: str) -> list[str]:
     """Cut a text where a piece surely begins: before a lone space. The parts joined are the text."""
-    parts = SPLIT.split(text) if DOUBLE.search(text) else text.split(" ")
+    parts = text.split(" ") if is_lone(text) else SPLIT.split(text)
     return parts[:1] + [" " + x for x in parts[1:]]
 
 

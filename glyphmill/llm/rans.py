@@ -11,23 +11,32 @@ import zlib
 import numpy as np
 import zstandard
 
-SCALE = 20
-LOW = np.uint64(1 << 32)
 STEPS = 256
 LANES = 256
-MASK = np.uint64((1 << SCALE) - 1)
-S, R, TOP = np.uint64(SCALE), np.uint64(32), np.uint64(64 - SCALE)
+#: Up to so many distinct ids a segment has 32-bit states and 16-bit words, beyond it 64-bit states and 32-bit words.
+NARROW = 1 << 15
 
 
 class Damaged(ValueError):
     """A checksum doesn't match."""
 
 
-def scaled(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that sum to 2**SCALE, at least 1 each. counts: positive, fewer than 2**SCALE of them."""
-    total, room = int(counts.sum()), (1 << SCALE) - len(counts)
+class Form:
+    """Widths of a segment: scale bits of the frequencies, state and word types."""
+
+    def __init__(self, distinct: int):
+        narrow = distinct <= NARROW
+        self.scale = 16 if narrow else 20
+        self.state, self.word, bits = (np.uint32, np.uint16, 16) if narrow else (np.uint64, np.uint32, 32)
+        self.low, self.bits = self.state(1 << bits), self.state(bits)
+        self.shift, self.mask, self.top = self.state(self.scale), self.state((1 << self.scale) - 1), self.state(2 * bits - self.scale)
+
+
+def scaled(counts: np.ndarray, scale: int) -> np.ndarray:
+    """Frequencies that sum to 2**scale, at least 1 each. counts: positive, fewer than 2**scale of them."""
+    total, room = int(counts.sum()), (1 << scale) - len(counts)
     freq = 1 + (counts.astype(np.float64) * (room / total)).astype(np.int64)
-    freq[int(np.argmax(freq))] += (1 << SCALE) - int(freq.sum())
+    freq[int(np.argmax(freq))] += (1 << scale) - int(freq.sum())
     return freq
 
 
@@ -55,68 +64,70 @@ def encode(ids: np.ndarray) -> dict:
     rank = np.zeros(len(held), np.int32)
     rank[symbols] = np.arange(len(symbols))
     at = rank[ids]
-    freq = scaled(counts)
+    form = Form(len(symbols))
+    freq = scaled(counts, form.scale)
     start = np.concatenate([[0], np.cumsum(freq)[:-1]])
     blocks, steps, lanes = shape_of(len(ids))
     common = int(np.argmax(freq))
     grid = np.full(blocks * steps * lanes, common, np.int32)
     grid[: len(ids)] = at
     grid = grid.reshape(blocks, steps, lanes)
-    f_all, c_all = freq.astype(np.uint64), start.astype(np.uint64)
-    x = np.full(blocks * lanes, LOW, np.uint64)
+    f_all, c_all = freq.astype(form.state), start.astype(form.state)
+    x = np.full(blocks * lanes, form.low, form.state)
     block_of = np.repeat(np.arange(blocks, dtype=np.int32), lanes)
     words, owners = [], []
     for k in range(steps - 1, -1, -1):
         s = grid[:, k, :].ravel()
         f = f_all[s]
-        full = np.flatnonzero((x >> TOP) >= f)
+        full = np.flatnonzero((x >> form.top) >= f)
         over = x[full]
-        words.append(over.astype(np.uint32))
+        words.append(over.astype(form.word))
         owners.append(block_of[full])
-        x[full] = over >> R
+        x[full] = over >> form.bits
         q = x // f
-        x = (q << S) + (x - q * f) + c_all[s]
+        x = (q << form.shift) + (x - q * f) + c_all[s]
     words.reverse()
     owners.reverse()
     flat, owner = np.concatenate(words), np.concatenate(owners)
-    flat = flat[np.argsort(owner, kind="stable")].astype("<u4")
+    flat = flat[np.argsort(owner, kind="stable")].astype(np.dtype(form.word).newbyteorder("<"))
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))])
     size = steps * lanes
     entries = []
     for b in range(blocks):
         part = ids[b * size : (b + 1) * size]
         entries.append((len(part), int(offsets[b]), zlib.crc32(flat[offsets[b] : offsets[b + 1]].tobytes()), zlib.crc32(part.astype("<u4").tobytes())))
-    return {"table": pack_table(symbols, freq), "blocks": np.array(entries, "<u4").tobytes(), "states": x.astype("<u8").tobytes(), "words": flat.tobytes(), "n": len(ids)}
+    return {"table": pack_table(symbols, freq), "blocks": np.array(entries, "<u4").tobytes(), "states": x.astype(np.dtype(form.state).newbyteorder("<")).tobytes(), "words": flat.tobytes(), "n": len(ids)}
 
 
 def decode(segment: dict, only: list[int] | None = None) -> np.ndarray:
     """Ids of a segment, or of some of its blocks. Raises Damaged where a checksum doesn't match."""
     symbols, freq = unpack_table(segment["table"])
     entries = np.frombuffer(segment["blocks"], "<u4").reshape(-1, 4).astype(np.int64)
-    words = np.frombuffer(segment["words"], "<u4")
+    form = Form(len(symbols))
+    words = np.frombuffer(segment["words"], np.dtype(form.word).newbyteorder("<"))
     _, steps, lanes = shape_of(segment["n"])
     ends = np.append(entries[1:, 1], len(words))
     take = np.arange(len(entries)) if only is None else np.array(only)
     for b in take:
         if zlib.crc32(words[entries[b, 1] : ends[b]].tobytes()) != entries[b, 2]:
             raise Damaged(f"block {b}: payload")
-    x = np.frombuffer(segment["states"], "<u8").reshape(-1, lanes)[take].ravel().astype(np.uint64)
+    x = np.frombuffer(segment["states"], np.dtype(form.state).newbyteorder("<")).reshape(-1, lanes)[take].ravel().astype(form.state)
     slot_to = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    f_all, c_all = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+    f_all, c_all = freq.astype(form.state), (np.cumsum(freq) - freq).astype(form.state)
     at = entries[take, 1].copy()
     out = np.empty((len(take), steps, lanes), np.int32)
     for k in range(steps):
-        slot = x & MASK
-        s = slot_to[slot.astype(np.int64)]
+        slot = x & form.mask
+        s = slot_to[slot]
         out[:, k, :] = s.reshape(-1, lanes)
-        x = f_all[s] * (x >> S) + slot - c_all[s]
-        low = (x < LOW).reshape(-1, lanes)
+        x = f_all[s] * (x >> form.shift) + slot - c_all[s]
+        low = (x < form.low).reshape(-1, lanes)
         need = low.sum(axis=1)
         if need.any():
             first = np.repeat(at - np.concatenate([[0], np.cumsum(need)[:-1]]), need)
-            got = words[first + np.arange(len(first))].astype(np.uint64)
+            got = words[first + np.arange(len(first))].astype(form.state)
             low = np.flatnonzero(low.ravel())
-            x[low] = (x[low] << R) | got
+            x[low] = (x[low] << form.bits) | got
             at += need
     parts = []
     for i, b in enumerate(take):

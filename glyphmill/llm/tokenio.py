@@ -8,7 +8,7 @@ Documents are dealt by range of (id, hash of the text), so one id that many rows
 behind whole documents when it is full; a task holds one segment at a time. The place of a document in the stream of all ids comes from
 the sums of segments: a running sum within each shard, and one over the shards' sums, a row a shard.
 
-Tokens: pieces of a text that surely begin a new pre-token are encoded once by the tokenizers library and memoised.
+Tokens: parts of a text that surely begin a new pre-token are encoded once by the tokenizers library and memoised.
 
 Edge cases. Null and empty texts: the end id alone. Long texts: one segment. Repeated rows: each is written. Null ids: first.
 Empty table: no files' rows, empty result.
@@ -19,98 +19,163 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import common, rans
-from .bpe import LONG, chunks
+from .bpe import LONG, SPLIT, Memo, is_lone, own_pattern
 
 SEGMENT_IDS = 1 << 21
 #: Pieces of text that a worker's memo holds, and characters of text that are encoded at a time.
-MEMO_PIECES, AT_A_TIME = 700_000, 2_000_000
+MEMO_PIECES, AT_A_TIME = 1_400_000, 2_000_000
 FORMAT = "shard int, segment int, doc_ids binary, doc_lens binary, n long, table binary, blocks binary, states binary, words binary"
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Encoder] = {}
+
+
+class Numbers(dict):
+    """Numbers of strings in order of their first use; fresh lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.count = 0
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = self.count
+        self.count = n + 1
+        self.fresh.append(key)
+        return n
+
+
+#: Classes of Latin-1 characters: letters and digits, full stop and comma, white space as it is, the rest.
+CLASSES = bytes(ord("a") if chr(b).isalnum() else ord("c") if chr(b) in ".," else b if chr(b).isspace() else ord("p") for b in range(256))
+#: Begins a part that has no space before it.
+BARE = "\x00"
+
+
+def keys_of(text: str) -> list[str]:
+    """Parts of a text that isn't empty, cut where a pre-token surely begins. A part that begins with BARE stands for what follows it,
+    any other for itself with a space before. Full stops and commas behind words, and lone line ends, are parts of their own, so
+    that the words before them are the same parts everywhere."""
+    if is_lone(text) and "\n\n" not in text and BARE not in text:
+        try:
+            kinds = text.encode("latin-1").translate(CLASSES)
+        except UnicodeEncodeError:
+            kinds = b"c "
+        if kinds.count(b"c ") == kinds.count(b"ac ") and kinds.count(b"c\n") == kinds.count(b"ac\n"):
+            text = text.replace(". ", " \x00. ").replace(", ", " \x00, ").replace(".\n", " \x00.\n").replace(",\n", " \x00,\n").replace("\n", " \x00\n \x00")
+        return (BARE + text).split(" ")
+    return _cut(text)
+
+
+def _cut(text: str) -> list[str]:
+    parts = SPLIT.split(text)
+    parts[0] = BARE + parts[0]
+    if any(p[:1] == BARE for p in parts[1:]):  # a part of the text itself begins so
+        return [BARE + text]
+    return parts
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    Each distinct piece is encoded once and has a number; the ids of a text are gathered by its pieces' numbers. A full memo starts
-    anew, so a worker's memory is bounded.
+    A text is cut before lone spaces, where a pre-token surely begins. Each distinct part gets a number when it is first met, and its ids
+    once: its pre-tokens go to the library's merge model. The ids of a text are gathered by its parts' numbers. Parts with characters
+    beyond PLAIN_UPTO go to the library whole, so its own pre-tokenizer decides on them. A full memo starts anew.
     """
 
-    def __init__(self, path: str):
+    PLAIN_UPTO = "\u024f"
+
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        # in a byte-level vocabulary each character of a token stands for one byte
-        self.length = np.array([len(self.own.id_to_token(i) or "") for i in range(self.own.get_vocab_size())])
+        self.merge = self.own.model.tokenize
+        self.find = regex.compile(own_pattern(pattern)).findall
+        self.mapped = str.maketrans({chr(b): c for b, c in byte_characters().items()})
+        self.space = self.mapped[ord(" ")]
+        self.piece = Memo(self._piece)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pool, self.ends = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.number = Numbers()
+        self.pool, self.ends, self.used = np.zeros(1 << 20, "<u4"), np.zeros(1 << 20, np.int64), 0
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and how many each has."""
-        parts: list[str] = []
+        if self.number.count >= MEMO_PIECES or self.used and self.ends[self.used - 1] > 8 * MEMO_PIECES:
+            self.forget()
+        keys: list[str] = []
         upto = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             if text:
-                parts += chunks(text)
-            upto[i + 1] = len(parts)
-        distinct = dict.fromkeys(parts)
-        if len(self.number) + len(distinct) > MEMO_PIECES or len(self.pool) > 8 * MEMO_PIECES:
-            self.forget()
-        known = self.number
-        self.learn([p for p in distinct if p not in known])
-        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+                keys += keys_of(text)
+            upto[i + 1] = len(keys)
+        number = self.number
+        at = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+        if number.fresh:
+            space, merge, part = self.space, self.merge, self.part
+            # most are plain words; the rest takes the general way
+            self.add([[t.id for t in merge(space + k)] if k.isascii() and k.isalpha() else part(k) for k in number.fresh])
+            for k in number.fresh:
+                if len(k) > LONG:
+                    del number[k]
+            number.fresh = []
         start = np.where(at > 0, self.ends[at - 1], 0)
         n = self.ends[at] - start
         ends = np.concatenate([[0], np.cumsum(n)])
         out = self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)]
-        for p in distinct:
-            if len(p) > LONG:
-                del known[p]
         return out, np.diff(ends[upto])
 
-    def learn(self, fresh: list[str]) -> None:
-        """Pieces that begin with a lone space are encoded as one text, cut by the tokens' lengths; others each alone."""
-        plain = [p for p in fresh if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        if plain:
-            ids = np.array(self.own.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in plain), np.int64, len(plain)))
-            self.add(plain, ids, np.searchsorted(np.cumsum(self.length[ids]), ends) + 1)
-        if len(plain) < len(fresh):
-            taken = set(plain)
-            rest = [p for p in fresh if p not in taken]
-            each = [e.ids for e in self.own.encode_batch_fast(rest, add_special_tokens=False)]
-            self.add(rest, np.array([i for x in each for i in x], "<u4"), np.cumsum([len(x) for x in each]))
-
-    def add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        first, base = self.used, int(self.ends[self.used - 1]) if self.used else 0
-        while len(self.ends) < first + len(pieces):
+    def part(self, key: str) -> list[int]:
+        text = key[1:] if key[0] == BARE else " " + key
+        if not text:
+            return []
+        if max(text) > self.PLAIN_UPTO:
+            return self.own.encode(text, add_special_tokens=False).ids
+        if key.isalpha():
+            return self._piece(text)
+        return [i for p in self.find(text) for i in self.piece[p]]
+
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum()):
+            mapped = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.mapped)
+        return [t.id for t in self.merge(mapped)]
+
+    def add(self, found: list[list[int]]) -> None:
+        base = int(self.ends[self.used - 1]) if self.used else 0
+        ids = np.fromiter(chain.from_iterable(found), "<u4")
+        while len(self.ends) < self.used + len(found):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while len(self.pool) < base + len(ids):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[base : base + len(ids)] = ids
-        self.ends[first : first + len(pieces)] = base + ends
-        self.number.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.used += len(pieces)
+        self.ends[self.used : self.used + len(found)] = base + np.cumsum([len(x) for x in found])
+        self.used += len(found)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pattern: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, pattern)
     return _loaded[path]
 
 
@@ -124,11 +189,11 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def write_ids(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
+def write_ids(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode texts and write them to the folder out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, pattern)
         shard, segment = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         docs: list[int] = []
@@ -200,5 +265,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = common.scratch_path(spark, "token-files")
-    write_ids(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    write_ids(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return read_ids(spark, folder)
