@@ -85,7 +85,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "
     """query_id, rank, vec_id, score. is_query: a condition on vec_id."""
     own = usable(vectors, id_col, vector_col)
     some = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    p = np.array([r.v for r in some], float).reshape(len(some), -1)
+    p = np.array([r.v for r in some], float).reshape(len(some), -1 if some else 0)
     p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300) if len(some) else p
     held = own.sparkSession.sparkContext.broadcast(p)
     asked = own.where(is_query)
