@@ -44,8 +44,10 @@ class Store:
         """Samples in order of their ids; none where the folder is missing."""
         if not self._there("gt"):
             return self.spark.createDataFrame([], schemas.SAMPLE)
-        raw = self.spark.read.schema(schemas.SAMPLE).option("multiLine", True).json(f"{self.root}/gt")
-        return A.from_json(A.to_json(raw)).orderBy("sample_id")
+        at = self.spark.read.option("recursiveFileLookup", True)
+        one = at.schema(schemas.SAMPLE).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{self.root}/gt")  # a file a sample
+        many = self.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"{self.root}/gt")  # as written here
+        return A.from_json(A.to_json(one).select("json").unionByName(many.withColumnRenamed("value", "json"))).orderBy("sample_id")
 
     def sample_ids(self) -> DataFrame:
         return self.read().select("sample_id")
