@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -101,3 +103,54 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions: what the session asks for."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bits of an id filter: at least, at most (16 MB), and for each id.
+LEAST_BITS, MOST_BITS, BITS_AN_ID = 1 << 12, 1 << 27, 16
+
+
+def id_filter(ids: DataFrame) -> tuple[bytes, int]:
+    """Bloom filter of a column of ids (long), four bits each, made by an aggregation; at most MOST_BITS / 8 bytes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_AN_ID * max(ids.count(), 1) - 1).bit_length()))
+    at = ids.select(F.explode(F.array(*_places(F.col(ids.columns[0]), bits))).alias("at"))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+    rows = at.select(F.shiftright("at", 6).alias("word"), word.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return words.tobytes(), bits
+
+
+def _places(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(4)]
+
+
+def only(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is decided to be kept; decided: doc_id, kept. Equal rows of one id stay once.
+
+    A filter holds the ids that are dropped or that several rows share. Rows that it doesn't hold pass as they are, without a shuffle;
+    the others are joined exactly. So what is shuffled follows what is dropped.
+    """
+    per = decided.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    odd = written(per.where("not kept or n > 1").select("doc_id", "kept"), "odd-ids")
+    held, bits = id_filter(odd.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")))
+    words = docs.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def may_hold(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        w = np.frombuffer(words.value, np.int64)
+        hit = np.ones(len(a), bool)
+        for at in (a, b, c, d):
+            v = at.to_numpy()
+            hit &= (w[v >> 6] >> (v & 63)) & 1 == 1
+        return pd.Series(hit)
+
+    ship(docs.sparkSession)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    marked = docs.withColumn("_maybe", may_hold(*_places(key, bits)))
+    dropped, columns = odd.withColumnRenamed("doc_id", "_id").withColumnRenamed("kept", "_kept"), docs.columns
+    checked = marked.where("_maybe").join(dropped.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").where("_id is null and _kept is null or _kept")
+    return marked.where("not _maybe").select(*columns).unionByName(checked.select(*columns).dropDuplicates())
+
+
+#: Stands for a null id in a filter.
+NO_ID = -(1 << 63) + 1

@@ -60,11 +60,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return per.select("source", "source_size", target.alias("target"))
 
 
+def rank_of(id_col: str) -> F.Column:
+    """Rank in (0, 1) by random odds over inclusion odds; null for what takes no part. Needs size, rest and source_size."""
+    p, u = F.col("rest") / F.col("source_size"), uniform(id_col)
+    odds = (u / (1 - u)) / (p / (1 - p))
+    return F.when((F.col("size") > 0) & (F.col("rest") > 0), odds / (1 + odds))
+
+
+def size_of(text_col: str) -> F.Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, one row per row of docs."""
-    src = F.col(source_col).cast("string")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = docs.select(F.col(id_col).alias("doc_id"), src.alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    d, extra = _decided(docs, id_col, text_col, source_col, weights, most)
+    d = d.join(extra.select(F.col("row").alias("x_row"), F.lit(1).alias("more")), F.col("row") == F.col("x_row"), "left")
+    copies = (F.coalesce("whole", F.lit(0)) + F.col("hit") + F.coalesce("more", F.lit(0))).cast("long")
+    return d.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """docs with each row as often as the mix takes it; all columns as they are.
+
+    The decisions are a row a source: whole copies, the last rank that is taken, and the few ids that fill up. So no text is shuffled.
+    """
+    d, extra = _decided(docs, id_col, text_col, source_col, weights, most)
+    last = d.where("hit = 1").groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("last")).select(F.col("source").alias("l_source"), "last")
+    more = extra.groupBy("source").agg(F.collect_list("doc_id").alias("more")).select(F.col("source").alias("m_source"), "more")
+    per = d.groupBy("source").agg(*(F.first(c).alias(c) for c in ("source_size", "whole", "rest")))
+    per = per.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left").join(more, F.col("source").eqNullSafe(F.col("m_source")), "left")
+    per = common.written(per.select(F.col("source").alias("_source"), "source_size", "whole", "rest", "last", "more").select(F.struct("*").alias("_s")), "mix-plan")
+    joined = docs.withColumn("_size", size_of(text_col)).join(per, F.col(source_col).cast("string").eqNullSafe(F.col("_s._source")), "left")
+    p, u = F.col("_s.rest") / F.col("_s.source_size"), uniform(id_col)
+    odds = (u / (1 - u)) / (p / (1 - p))
+    rank = F.when((F.col("_size") > 0) & (F.col("_s.rest") > 0), odds / (1 + odds))
+    hit = F.struct(rank.alias("rank"), F.col(id_col).cast("long").alias("doc_id")) <= F.col("_s.last")
+    filled = F.array_contains("_s.more", F.col(id_col).cast("long"))
+    copies = F.coalesce("_s.whole", F.lit(0)) + F.when(rank.isNotNull() & (F.coalesce(hit, F.lit(False)) | F.coalesce(filled, F.lit(False))), 1).otherwise(0)
+    copies = F.when(F.col("_size") > 0, copies).otherwise(0)
+    out = joined.withColumn("_n", copies).where("_n > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(*docs.columns)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most: float) -> tuple[DataFrame, DataFrame]:
+    """Each row with whole, rank and hit; and the rows (source, size, row, doc_id) that fill up."""
+    src, size = F.col(source_col).cast("string"), size_of(text_col)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), src.alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
     narrow = common.written(narrow, "mix")
     targets = common.written(source_targets(narrow, weights, most), "mix-targets")
     same = F.col("source").eqNullSafe(F.col("t_source"))
@@ -72,12 +113,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("source").alias("t_source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    p = F.col("rest") / F.col("source_size")
     d = narrow.join(t, same, "left").drop("t_source")
-    u = uniform("doc_id")
-    odds = (u / (1 - u)) / (p / (1 - p))
-    rank = F.when((F.col("size") > 0) & (F.col("rest") > 0), odds / (1 + odds))
-    d = d.withColumn("rank", rank).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
+    d = d.withColumn("rank", rank_of("doc_id")).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
     d = common.written(d, "mix-ranked")
 
     key = [F.col("source")]
@@ -95,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _filled(d)
 
 
-def _filled(d: DataFrame) -> DataFrame:
+def _filled(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fill what is open in each source, a document a round."""
     d = common.written(d.select("doc_id", "source", "size", "row", "source_size", "target", "whole", "rest", "rank", "hit"), "mix-hit")
     extra = None
@@ -114,12 +151,10 @@ def _filled(d: DataFrame) -> DataFrame:
         fits = free.join(common.written(state, "mix-open"), F.col("source").eqNullSafe(F.col("s_source")))
         fits = fits.where(off < F.col("open") if turn == FILL_ROUNDS - 1 else F.col("size") <= F.col("open"))
         best = fits.groupBy("source").agg(F.max(F.struct((-off).alias("o"), "size", (-F.col("rank")).alias("r"), (-F.col("doc_id")).alias("i"), (-F.col("row")).alias("w"))).alias("b"))
-        pick = best.select("source", F.col("b.size").alias("size"), (-F.col("b.w")).alias("row"))
+        pick = best.select("source", F.col("b.size").alias("size"), (-F.col("b.w")).alias("row"), (-F.col("b.i")).alias("doc_id"))
         extra = pick if extra is None else extra.unionByName(pick)
         extra = common.written(extra, "mix-fill")
-    d = d.join(extra.select(F.col("row").alias("x_row"), F.lit(1).alias("more")), F.col("row") == F.col("x_row"), "left")
-    copies = (F.coalesce("whole", F.lit(0)) + F.col("hit") + F.coalesce("more", F.lit(0))).cast("long")
-    return d.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
+    return d, extra
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
