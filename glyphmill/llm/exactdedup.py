@@ -200,10 +200,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     index = compact(runs, held, keep)
 
     single = maybe(log, held).where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    hits = hit_texts(docs, id_col, text_col, held, digest_bytes).join(index, "digest", "left")
-    stays = hits.where("n is not null and doc_id <=> keep_id").groupBy("digest").agg(F.first("raw").alias("kept_raw"))
+    # the text that stays of each digest: joined by digest and id, so that a large group is no large key
+    reps = hit_texts(docs, id_col, text_col, held, digest_bytes).withColumnRenamed("digest", "_d")
+    reps = index.join(reps, (F.col("digest") == F.col("_d")) & F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    reps = reps.groupBy("digest", "keep_id", "n").agg(F.first("raw").alias("kept_raw"))
     same = F.col("n").isNull() | F.coalesce(F.col("raw") == F.col("kept_raw"), F.lit(False))
-    checked = hits.join(stays, "digest", "left").select("doc_id", "digest", "sha", "keep_id", "n", same.alias("same"), F.when(~same, F.col("raw")).alias("raw"), F.monotonically_increasing_id().alias("row"))
+    hits = hit_texts(docs, id_col, text_col, held, digest_bytes).join(reps, "digest", "left")
+    checked = hits.select("doc_id", "digest", "sha", "keep_id", "n", same.alias("same"), F.when(~same, F.col("raw")).alias("raw"), F.monotonically_increasing_id().alias("row"))
     checked = common.written(checked, "lsm-checked")
     return single.unionByName(_groups(checked, keep)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
