@@ -21,23 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, id, x, y, w, h, pixel_area, fill_ratio."""
-    r = F.col("r")
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    # up to which r, then width, height and fill in percent, each as a base and a modulus of a key
     classes = [
-        (59, 6 + part % 10, 14 + supp % 10, 40 + part % 40), (69, 2 + part % 3, 2 + supp % 3, F.lit(95)), (74, F.lit(200), F.lit(2), F.lit(95)), (77, F.lit(2), F.lit(150), F.lit(95)),
-        (80, F.lit(700), F.lit(700), F.lit(3)), (83, F.lit(650), F.lit(650), F.lit(85)), (86, F.lit(60), F.lit(40), F.lit(8)), (89, F.lit(200), F.lit(14), F.lit(25)),
-        (92, F.lit(1), F.lit(1), F.lit(60)), (95, F.lit(24), F.lit(100), F.lit(60)), (97, F.lit(300), F.lit(300), F.lit(60)), (99, F.lit(800), F.lit(20), F.lit(90)),
+        (59, (6, 10), (14, 10), (40, 40)), (69, (2, 3), (2, 3), (95, 1)), (74, (200, 1), (2, 1), (95, 1)), (77, (2, 1), (150, 1), (95, 1)), (80, (700, 1), (700, 1), (3, 1)), (83, (650, 1), (650, 1), (85, 1)),
+        (86, (60, 1), (40, 1), (8, 1)), (89, (200, 1), (14, 1), (25, 1)), (92, (1, 1), (1, 1), (60, 1)), (95, (24, 1), (100, 1), (60, 1)), (97, (300, 1), (300, 1), (60, 1)), (99, (800, 1), (20, 1), (90, 1)),
     ]
-    pick = lambda i: F.coalesce(*(F.when(r <= top, row[i]) for top, *row in classes)).cast("int")
+    of_r = [next(row for row in classes if r <= row[0]) for r in range(100)]
+    at = lambda i, k: F.element_at(F.lit([row[i + 1][k] for row in of_r]), (F.col("r") + 1).cast("int"))
+    pick = lambda i, key: (at(i, 0) + key % at(i, 1)).cast("int")
     line = table(spark, sf_dir, "lineitem").withColumn("r", (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + part) % 100)
-    order = W.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    line = line.withColumn("page", (F.col("l_orderkey") % 40).cast("int"))
-    out = line.select(
-        "page", F.row_number().over(order).alias("id"), ((part * 13 + F.col("l_linenumber") * 17) % 900).cast("int").alias("x"), ((F.col("l_orderkey") * 11 + supp * 29) % 900).cast("int").alias("y"),
-        pick(0).alias("w"), pick(1).alias("h"), pick(2).alias("pct"),
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    sized = line.select(
+        (F.col("l_orderkey") % 40).cast("int").alias("page"), *keys, ((part * 13 + F.col("l_linenumber") * 17) % 900).cast("int").alias("x"), ((F.col("l_orderkey") * 11 + supp * 29) % 900).cast("int").alias("y"),
+        pick(0, part).alias("w"), pick(1, supp).alias("h"), pick(2, part).alias("pct"),
     )
+    out = sized.withColumn("id", F.row_number().over(W.partitionBy("page").orderBy(*keys))).drop(*keys)
     area = F.greatest(F.lit(1), F.floor(F.col("w") * F.col("h") * F.col("pct") / 100)).cast("int")
-    return out.withColumn("pixel_area", area).withColumn("fill_ratio", F.col("pixel_area") / (F.col("w") * F.col("h")).cast("double")).drop("pct")
+    return out.withColumn("pixel_area", area).withColumn("fill_ratio", F.col("pixel_area") / (F.col("w") * F.col("h")).cast("double")).select("page", "id", "x", "y", "w", "h", "pixel_area", "fill_ratio")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
