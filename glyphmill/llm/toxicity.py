@@ -9,7 +9,8 @@ their id. The lexicon's counts are made on the cluster; features of a training r
 and so do the scores that the isotonic curve is fitted to. Scoring covers every row in one pass without a shuffle.
 
 Edge cases. Null and empty texts: all features are zero, and they have a score. Null labels don't train. A row's label,
-language, source and id never enter its score. With fewer than LEAST_CLASS training rows of either class the fixed lexicon alone decides.
+language, source and id never enter its score. With fewer than LEAST_CLASS training rows of either class the fixed lexicon alone decides;
+with fewer than FEW toxic ones two of its words also do.
 Repeated rows give repeated results; a repeated label counts once. Empty table: empty result.
 """
 
@@ -29,7 +30,7 @@ from . import common
 
 MAX_TRAIN = 20_000
 FOLDS = 4
-LEAST_CLASS = 5
+LEAST_CLASS, FEW = 5, 30
 THRESHOLD = 0.7
 #: Word beginnings that the lexicon may learn, and how many entries it keeps.
 PREFIXES, MOST_ENTRIES = (4, 5, 6), 4000
@@ -198,6 +199,7 @@ class Model:
     trees: Trees | None = None
     knots: np.ndarray | None = None
     values: np.ndarray | None = None
+    few: bool = False
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -205,7 +207,8 @@ class Model:
         x = np.array([features(t, self.lexicon) for t in texts], float)
         if self.trees is None:
             return np.where(x[:, 1] + x[:, 12] > 0, 0.9, 0.05)
-        return np.clip(np.interp(self.trees.raw(x), self.knots, self.values), 0.0, 1.0)
+        out = np.clip(np.interp(self.trees.raw(x), self.knots, self.values), 0.0, 1.0)
+        return np.maximum(out, np.where(x[:, 1] >= 2, 0.9, 0.0)) if self.few else out
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -283,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rest = fold != k
         out[~rest] = Trees().fit(x[rest], y[rest]).raw(x[~rest]) if len(np.unique(y[rest])) == 2 else Trees().fit(x, y).raw(x[~rest])
     knots, values = isotonic(out, y)
-    return Model(lexicons[-1], Trees().fit(x, y), knots, values)
+    return Model(lexicons[-1], Trees().fit(x, y), knots, values, pos < FEW)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
