@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Entries of a generation of each memo, of which there are two, so a worker's memory is bounded.
-MEMO = 200_000
+MEMO = 150_000
+PAIRS, TOKENS = 100_000, 20_000
 #: Longer strings are never memoised.
 LONG = 64
 #: A single space between characters that are no white space always begins a new piece.
@@ -83,11 +84,11 @@ class ByteBpe:
         for token in ranks:
             self.trie.add_word(token.decode("latin-1"), len(token))
         self.find = regex.compile(own_pattern(pattern)).findall
-        self.fits = Memo(self._fits)
-        self.head = Memo(self._head)
+        self.fits = Memo(self._fits, PAIRS)
+        self.head = Memo(self._head, PAIRS)
         self.four = {t.decode("latin-1"): i.to_bytes(4, "little") for t, i in ranks.items()}
         self.chunk = Memo(self._chunk)
-        self.down = Memo(self._down)
+        self.down = Memo(self._down, TOKENS)
         self.longest = max(map(len, ranks), default=1)
 
     @classmethod
