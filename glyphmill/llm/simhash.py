@@ -14,6 +14,12 @@ reached gives a spanning forest of the links, whose components are those of all
 Components then follow from alternating large-star and small-star steps on the edges, whose rows never grow, each step
 written to the shared folder.
 
+Wide fingerprints. Four bits of 64 are a very high similarity: shingle sets that share 0.8 of their shingles differ in 8 to 10 bits. Where a
+share of shingles is asked for (the corpus pipeline), similar_groups takes 256 bits from the same hashes, 64 from each of four mixings, and
+links at WIDE_MOST differing ones, which is where a share of 0.8 lies (angle arccos(2s / (1 + s)) / pi). Its embedding has overlapping parts of eight
+segments; fingerprints that meet in a part's grid cell are compared exactly, and the same forests and components follow. This is a filter
+with measured recall, given in the README, not a lossless one.
+
 Edge cases. Null and empty texts, or white space alone: fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is the one shingle. Null ids: they take part, and the smallest id that is not null names the component. Repeated rows: each is
 returned. Empty table: empty result.
@@ -34,27 +40,51 @@ from . import common
 MOST = 4
 SEED = 42
 CHUNK = 1 << 16
+VIEWS, WIDE_MOST, PART_BITS, PART_STEP = 4, 42, 16, 8
+#: Odd multipliers of the mixings, the constants of a public 64-bit finalizer.
+MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: Runs up to this length are compared by shifted copies of the sorted posts; longer ones by a search each.
 SHORT_RUN = 24
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """Unsigned 64-bit fingerprint of a text in UTF-8. bytes.lower and bytes.split know A-Z and \\t-\\r and space only."""
+def _counts(text: bytes, shingle: int, views: tuple[int, ...]) -> tuple[np.ndarray, int]:
+    """How often each bit is set in the shingles' hashes, 64 for each view, and the number of shingles. A view of 1 is the hash itself.
+
+    bytes.lower and bytes.split know A-Z and \\t-\\r and space only.
+    """
     words = text.lower().split()
+    counts = np.zeros((len(views), 64), np.int64)
     if not words:
-        return 0
+        return counts, 0
     spaced = b" ".join(words)
     h = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        return h(spaced, SEED)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
-    counts, n = np.zeros(64, np.int64), len(words) - shingle + 1
+    n = max(1, len(words) - shingle + 1)
+    last = min(shingle, len(words)) - 1
     for k in range(0, n, CHUNK):
-        a, b = starts[k : min(k + CHUNK, n)].tolist(), (ends[k + shingle - 1 : min(k + CHUNK, n) + shingle - 1] - 1).tolist()
-        hashes = np.array([h(spaced[i:j], SEED) for i, j in zip(a, b, strict=True)], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        to = min(k + CHUNK, n)
+        a, b = starts[k:to].tolist(), (ends[k + last : to + last] - 1).tolist()
+        hashes = np.array([h(spaced[i:j], SEED) for i, j in zip(a, b, strict=True)], np.uint64)
+        for v, mixer in enumerate(views):
+            x = hashes
+            if mixer != 1:
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(mixer)
+                x ^= x >> np.uint64(29)
+            counts[v] += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return counts, n
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """Unsigned 64-bit fingerprint of a text in UTF-8; without words zero."""
+    counts, n = _counts(text, shingle, (1,))
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
+    """64 bits of each mixing; without words zeros."""
+    counts, n = _counts(text, shingle, MIXERS[:VIEWS])
+    return np.packbits(counts * 2 > n, axis=1).tobytes() if n else bytes(8 * VIEWS)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -208,5 +238,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As forest, of rows of several words; edges are row numbers."""
+    left, edges = np.arange(len(fps)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1, dtype=np.int32) <= most
+            if near.any():
+                edges += [(at, int(x)) for x in left[near]]
+                front += left[near].tolist()
+                left = left[~near]
+    return edges
+
+
+def wide_edges(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, most: int) -> set[tuple[int, int]]:
+    """Edges of ids among posts that are sorted by key; whole runs of a key."""
+    out: set[tuple[int, int]] = set()
+    if len(keys) < 2:
+        return out
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    long = size > SHORT_RUN
+    for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
+        own = ids[a : a + n]
+        out.update((int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j in wide_forest(fps[a : a + n], most))
+    short = np.repeat(~long, size)
+    k, f, own = keys[short], fps[short], ids[short]
+    for d in range(1, SHORT_RUN):
+        same = np.flatnonzero(k[d:] == k[:-d])
+        if not len(same):
+            break
+        near = same[np.bitwise_count(f[same] ^ f[same + d]).sum(axis=1, dtype=np.int32) <= most]
+        out.update(zip(np.minimum(own[near], own[near + d]).tolist(), np.maximum(own[near], own[near + d]).tolist(), strict=True))
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
+    """doc_id, component_id: groups of documents that share about 0.8 of their shingles or more, by wide fingerprints."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "fp"])
+
+    def words_of(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, VIEWS)
+
+    def post(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, parts = words_of(batch.column(1)), range(0, 64 - PART_BITS + 1, PART_STEP)
+        keys, rows = [], np.arange(batch.num_rows)
+        for v in range(VIEWS):
+            counts = fps[:, v] - ((fps[:, v] >> np.uint64(1)) & np.uint64(0x5555555555555555))  # of segments of two bits
+            for p in parts:
+                keys.append(((counts >> np.uint64(p)) & np.uint64((1 << PART_BITS) - 1)) | np.uint64((64 * v + p) << 32))
+        at = pa.array(np.tile(rows, VIEWS * len(parts)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "cls", "fp"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, fps, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VIEWS), np.uint64), set()
+
+        def out(edges: set[tuple[int, int]]) -> pa.RecordBatch:
+            pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            keys, ids = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
+            fps = np.concatenate([fps, words_of(batch.column(2))])
+            if len(keys) >= CHUNK and keys[-1] != keys[0]:
+                cut = int(np.searchsorted(keys, keys[-1]))
+                seen |= wide_edges(keys[:cut], fps[:cut], ids[:cut], most)
+                keys, ids, fps = keys[cut:], ids[cut:], fps[cut:]
+                if len(seen) >= CHUNK:
+                    yield out(seen)
+                    seen = set()
+        seen |= wide_edges(keys, fps, ids, most)
+        if seen:
+            yield out(seen)
+
+    own = common.written(common.map_batches(common.id_text(docs, id_col, text_col), f, "doc_id long, fp binary"), "wide")
+    classes = common.written(own.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cls", F.monotonically_increasing_id()), "wide-classes")
+    posted = common.map_batches(classes.select("cls", "fp"), post, "key long, cls long, fp binary")
+    posted = posted.repartition(common.partitions_for(docs), "key").sortWithinPartitions("key")
+    edges = common.written(common.map_partitions(posted, join, "a long, b long"), "wide-edges").distinct()
+    roots = components(edges)
+    rooted = classes.select("fp", "least", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "cls").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.written(rooted.join(named, "root").select("fp", "component_id"), "wide-named")
+    return own.join(named, "fp").select("doc_id", "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -34,9 +34,9 @@ def test_stages(spark, docs, tmp_path):
     exact = {r.doc_id for r in step["exact_dedup"]}
     assert exact == {r.doc_id for r in step["toxicity"]} - {i * 4 + 1 for i in range(20)} - {3000}
     near = {r.doc_id for r in step["near_dedup"]}
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode(), C.SHINGLE_WORDS) for r in step["exact_dedup"]}
-    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.MOST]
-    assert near == exact - {b for _, b in links} and len(links) > 5
+    fps = {r.doc_id: int.from_bytes(simhash.wide_fingerprint((r.text or "").encode(), C.SHINGLE_WORDS), "big") for r in step["exact_dedup"]}
+    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.WIDE_MOST]
+    assert near == exact - {b for _, b in links} and len(links) >= 20
     again = mixing.mix(spark.read.parquet(f"{tmp_path}/near_dedup")).collect()
     assert sorted(r.doc_id for r in step["mixing"]) == sorted(r.doc_id for r in again for _ in range(r.copies))
     coder, texts = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), {r.doc_id: r.text or "" for r in step["mixing"]}

@@ -99,3 +99,35 @@ def test_edges(edge_docs):
     assert S.near_duplicates(edge_docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         S.links(edge_docs.selectExpr("doc_id as fp"), most=9)
+
+
+def test_similar_groups(docs):
+    """Copies that share 0.9 of their shingles are found, unlike texts are left alone."""
+    rng, rows = random.Random(4), []
+    for g in range(60):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(400)]
+        rows.append((10 * g, " ".join(words)))
+        for k in (1, 2):
+            copy = list(words)
+            for at in rng.sample(range(0, 400, 10), 4):
+                copy[at] = f"edit{g}{k}{at}"
+            rows.append((10 * g + k, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs(rows)).collect()}
+    assert all(c == i - i % 10 or c == i for i, c in got.items())
+    assert sum(got[i] == i - i % 10 for i, _ in rows if i % 10) >= 0.95 * 120
+
+
+def test_similar_groups_edges(edge_docs):
+    assert S.similar_groups(edge_docs).count() == edge_docs.count()
+    assert S.similar_groups(edge_docs.limit(0)).count() == 0
+
+
+def test_wide_forest_has_the_components_of_all_links():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (20, S.VIEWS)).astype(np.uint64)
+    fps = np.repeat(base, 15, axis=0) ^ np.uint64(1) << rng.integers(0, 64, (300, S.VIEWS)).astype(np.uint64)
+    for most in (3, 6):
+        links = [(i, j) for i in range(300) for j in range(i + 1, 300) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= most]
+        assert roots(range(300), S.wide_forest(fps, most)) == roots(range(300), links)
+        keys = np.repeat(np.arange(20), 15)
+        assert roots(range(300), S.wide_edges(keys, fps, np.arange(300), most)) == roots(range(300), links)
