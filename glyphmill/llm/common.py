@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 LOCAL_SCRATCH = os.path.join(tempfile.gettempdir(), "glyphmill-scratch")
 
 
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver has it on its path.
+    """Before Python runs on executors: let workers import this package when only the driver has it on its path, and keep Arrow batches small.
 
     On a cluster pass the package with --py-files; this line serves a checkout that all machines see.
     """
+    # texts are long: batches of the default 10,000 rows would hold tens of MB on both sides
+    if int(spark.conf.get(BATCH_CONF, "10000")) == 10_000:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
