@@ -14,11 +14,16 @@ reached gives a spanning forest of the links, whose components are those of all
 Components then follow from alternating large-star and small-star steps on the edges, whose rows never grow, each step
 written to the shared folder.
 
-Wide fingerprints. Four bits of 64 are a very high similarity: shingle sets that share 0.8 of their shingles differ in 8 to 10 bits. Where a
-share of shingles is asked for (the corpus pipeline), similar_groups takes 256 bits from the same hashes, 64 from each of four mixings, and
-links at WIDE_MOST differing ones, which is where a share of 0.8 lies (angle arccos(2s / (1 + s)) / pi). Its embedding has overlapping parts of eight
-segments; fingerprints that meet in a part's grid cell are compared exactly, and the same forests and components follow. This is a filter
-with measured recall, given in the README, not a lossless one.
+Shares of shingles. Four bits of 64 are a very high similarity: shingle sets that share 0.8 of their shingles differ in 8 to 10 bits. Where a
+share of shingles is asked for (the corpus pipeline), similar_groups decides it by the shingle sets themselves, without loss:
+1. Prefixes. In one order of all shingles, two sets with a Jaccard similarity of 0.8 or more share one of their first n - ceil(0.8 n) + 1. Each
+distinct set posts itself at these. The order puts shingles that a sample finds often last, so common lines are seldom posted;
+the answer doesn't depend on the order.
+2. Sketches. A set's sketch has a bit for each of 512 parts of the hashes, of more where it is large: the parity of its count. Sketches of one
+width differ in at most as many bits as the sets differ in shingles; a wider one is folded to half its width. So a pair at one post that differs in more bits than 0.8 allows for its sizes, or whose sizes alone rule 0.8 out, is no
+link; the others are candidates, and a forest of them has the components of all candidates.
+3. Sets. Components of candidates are cut to those of true links: their texts meet in a task, which compares exact shingle sets.
+Sets hold 64-bit hashes of shingles. A component of candidates is held by one task.
 
 Edge cases. Null and empty texts, or white space alone: fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is the one shingle. Null ids: they take part, and the smallest id that is not null names the component. Repeated rows: each is
@@ -40,22 +45,25 @@ from . import common
 MOST = 4
 SEED = 42
 CHUNK = 1 << 16
-VIEWS, WIDE_MOST, PART_BITS, PART_STEP = 4, 42, 16, 8
+VIEWS, WIDE_MOST = 4, 42
+#: Least Jaccard similarity of similar_groups as a fraction; least words of a sketch.
+SHARE, SKETCH = (4, 5), 8
+#: Documents of the sample that the order of shingles is taken from, in how many of them a shingle is common, and most common ones. Not part of the answer.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 100_000
 #: Odd multipliers of the mixings, the constants of a public 64-bit finalizer.
 MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: Runs up to this length are compared by shifted copies of the sorted posts; longer ones by a search each.
 SHORT_RUN = 24
 
 
-def _counts(text: bytes, shingle: int, views: tuple[int, ...]) -> tuple[np.ndarray, int]:
-    """How often each bit is set in the shingles' hashes, 64 for each view, and the number of shingles. A view of 1 is the hash itself.
+def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, up to CHUNK at a time; without words nothing.
 
     bytes.lower and bytes.split know A-Z and \\t-\\r and space only.
     """
     words = text.lower().split()
-    counts = np.zeros((len(views), 64), np.int64)
     if not words:
-        return counts, 0
+        return
     spaced = b" ".join(words)
     h = xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words])
@@ -65,7 +73,14 @@ def _counts(text: bytes, shingle: int, views: tuple[int, ...]) -> tuple[np.ndarr
     for k in range(0, n, CHUNK):
         to = min(k + CHUNK, n)
         a, b = starts[k:to].tolist(), (ends[k + last : to + last] - 1).tolist()
-        hashes = np.array([h(spaced[i:j], SEED) for i, j in zip(a, b, strict=True)], np.uint64)
+        yield np.array([h(spaced[i:j], SEED) for i, j in zip(a, b, strict=True)], np.uint64)
+
+
+def _counts(text: bytes, shingle: int, views: tuple[int, ...]) -> tuple[np.ndarray, int]:
+    """How often each bit is set in the shingles' hashes, 64 for each view, and the number of shingles. A view of 1 is the hash itself."""
+    counts, n = np.zeros((len(views), 64), np.int64), 0
+    for hashes in _hashes(text, shingle):
+        n += len(hashes)
         for v, mixer in enumerate(views):
             x = hashes
             if mixer != 1:
@@ -75,6 +90,128 @@ def _counts(text: bytes, shingle: int, views: tuple[int, ...]) -> tuple[np.ndarr
     return counts, n
 
 
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
+
+
+def set_class(own: np.ndarray) -> int:
+    """A long that stands for a shingle set."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each of 64 * SKETCH parts, or of the least power of two that is half the set's size."""
+    bits = max(64 * SKETCH, 1 << max(0, (len(own) + 1) // 2 - 1).bit_length())
+    parts = (own % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(parts, minlength=bits) & 1).astype(bool)).view(np.uint64)
+
+
+def prefix(own: np.ndarray, common_ones: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set, common ones (ascending, with how often) last."""
+    n = len(own)
+    if not n:
+        return own
+    rank = np.zeros(n, np.int64)
+    if len(common_ones):
+        at = np.minimum(np.searchsorted(common_ones, own), len(common_ones) - 1)
+        rank = np.where(common_ones[at] == own, often[at], 0)
+    return own[np.argsort(rank, kind="stable")[: n - -(-SHARE[0] * n // SHARE[1]) + 1]]
+
+
+class Sketches:
+    """Sketches of rows and their sets' sizes; each also folded to half its width, so that those of similar sizes compare."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray):
+        self.sizes, self.width = sizes, np.array([len(x) // 8 for x in sketches])
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            rows, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            own = np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint64).reshape(-1, w)
+            wider = np.frombuffer(b"".join([sketches[i] for i in twice]), np.uint64).reshape(-1, 2 * w)
+            at = np.full(len(sizes), -1)
+            at[np.concatenate([rows, twice])] = np.arange(len(rows) + len(twice))
+            self.levels[w] = at, np.concatenate([own, wider[:, :w] ^ wider[:, w:]])
+
+    def may_share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows may have SHARE of their shingles in common, by sizes and sketches; never false where they do."""
+        num, den = SHARE
+        x, y = self.sizes[a], self.sizes[b]
+        least = -(-num * (x + y) // (num + den))
+        out, limit = least <= np.minimum(x, y), x + y - 2 * least
+        narrow = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(narrow[out]).tolist():
+            at, rows = self.levels[w]
+            for k in np.array_split(to := np.flatnonzero(out & (narrow == w)), 1 + len(to) * w // CHUNK):
+                out[k] = np.bitwise_count(rows[at[a[k]]] ^ rows[at[b[k]]]).sum(axis=1, dtype=np.int64) <= limit[k]
+        return out
+
+    def forest(self, rows: np.ndarray) -> list[tuple[int, int]]:
+        """As forest, among some rows; edges are row numbers."""
+        left, edges = rows, []
+        while len(left) > 1:
+            front, left = [int(left[0])], left[1:]
+            while front and len(left):
+                at = front.pop()
+                near = self.may_share(np.full(len(left), at), left)
+                if near.any():
+                    edges += [(at, int(x)) for x in left[near]]
+                    front += left[near].tolist()
+                    left = left[~near]
+        return edges
+
+    def edges(self, keys: np.ndarray, ids: np.ndarray) -> set[tuple[int, int]]:
+        """Edges of ids among posts that are sorted by key; whole runs of a key."""
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(first, len(keys)))
+        long = size > SHORT_RUN
+        out = [np.zeros((0, 2), np.int64)]
+        for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
+            out.append(ids[np.array(self.forest(np.arange(a, a + n)), np.int64).reshape(-1, 2)])
+        at = np.flatnonzero(np.repeat(~long, size))
+        k = keys[at]
+        for d in range(1, SHORT_RUN):
+            same = np.flatnonzero(k[d:] == k[:-d])
+            if not len(same):
+                break
+            a, b = at[same], at[same + d]
+            near = self.may_share(a, b)
+            out.append(ids[np.stack([a[near], b[near]], axis=1)])
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return set(map(tuple, pairs.tolist()))
+
+
+def shared_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among shingle sets: SHARE of their shingles in common, counted."""
+    num, den = SHARE
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    marks, left, edges = np.zeros(len(values), bool), np.arange(len(sets)), []
+
+    def of(i: int) -> np.ndarray:
+        return codes[ends[i] - sizes[i] : ends[i]]
+
+    def gather() -> tuple[np.ndarray, np.ndarray]:
+        return (np.concatenate([of(i) for i in left]), np.cumsum(sizes[left]) - sizes[left]) if len(left) else (codes[:0], left)
+
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        flat, starts = gather()
+        while front and len(left):
+            at = front.pop()
+            marks[of(at)] = True
+            both = np.add.reduceat(marks[flat], starts, dtype=np.int64)
+            marks[of(at)] = False
+            near = den * both >= num * (sizes[left] + sizes[at] - both)
+            if near.any():
+                edges += [(at, int(x)) for x in left[near]]
+                front += left[near].tolist()
+                left = left[~near]
+                flat, starts = gather()
+    return edges
+
+
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """Unsigned 64-bit fingerprint of a text in UTF-8; without words zero."""
     counts, n = _counts(text, shingle, (1,))
@@ -275,56 +412,113 @@ def wide_edges(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, most: int) ->
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
-    """doc_id, component_id: groups of documents that share about 0.8 of their shingles or more, by wide fingerprints."""
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several documents of a sample hold, and in how many of it."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "fp"])
-
-    def words_of(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, VIEWS)
+        sets = [shingle_set(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(docs.count(), 1))) < SAMPLE)
+    found = common.map_batches(sample, f, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    at, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(at)
+    return at[order], n[order]
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that are sorted by their first column, joined to whole runs of it, CHUNK rows or more."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK and held[0].column(0)[0] != batch.column(0)[-1]:
+            whole = pa.concat_batches(held)
+            cut = int(np.searchsorted(whole.column(0).to_numpy(), whole.column(0)[-1].as_py()))
+            yield whole.slice(0, cut)
+            held, rows = [whole.slice(cut)], len(whole) - cut
+    if held:
+        yield pa.concat_batches(held)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """doc_id, component_id: components of documents whose shingle sets have a Jaccard similarity of SHARE or more."""
+    docs = common.id_text(docs, id_col, text_col)
+    ordered = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [shingle_set(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        cols = [pa.array([set_class(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())]
+        cols += [pa.array([sketch(x).tobytes() for x in own], pa.binary()), pa.array([prefix(x, *ordered.value).tobytes() for x in own], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["doc_id", "at", "cls", "size", "fp", "prefix"])
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, parts = words_of(batch.column(1)), range(0, 64 - PART_BITS + 1, PART_STEP)
-        keys, rows = [], np.arange(batch.num_rows)
-        for v in range(VIEWS):
-            counts = fps[:, v] - ((fps[:, v] >> np.uint64(1)) & np.uint64(0x5555555555555555))  # of segments of two bits
-            for p in parts:
-                keys.append(((counts >> np.uint64(p)) & np.uint64((1 << PART_BITS) - 1)) | np.uint64((64 * v + p) << 32))
-        at = pa.array(np.tile(rows, VIEWS * len(parts)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "cls", "fp"])
+        keys = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners)], ["key", "cls"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches):
+            same = np.diff(batch.column(0).to_numpy()) == 0
+            yield batch.filter(pa.array(np.append(same, False) | np.append(False, same)))
+
+    def edges_out(edges: set[tuple[int, int]]) -> pa.RecordBatch:
+        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in runs(batches):
+            if batch.num_rows:
+                met_at = Sketches(batch.column(3).to_pylist(), batch.column(2).to_numpy())
+                seen |= met_at.edges(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            if len(seen) >= CHUNK:
+                yield edges_out(seen)
+                seen = set()
+        if seen:
+            yield edges_out(seen)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, fps, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VIEWS), np.uint64), set()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, held = None, {}
 
-        def out(edges: set[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        def links() -> pa.RecordBatch:
+            ids = list(held)
+            return edges_out({(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in shared_forest(list(held.values()))})
 
         for batch in batches:
-            keys, ids = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
-            fps = np.concatenate([fps, words_of(batch.column(2))])
-            if len(keys) >= CHUNK and keys[-1] != keys[0]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                seen |= wide_edges(keys[:cut], fps[:cut], ids[:cut], most)
-                keys, ids, fps = keys[cut:], ids[cut:], fps[cut:]
-                if len(seen) >= CHUNK:
-                    yield out(seen)
-                    seen = set()
-        seen |= wide_edges(keys, fps, ids, most)
-        if seen:
-            yield out(seen)
-
-    own = common.written(common.map_batches(common.id_text(docs, id_col, text_col), f, "doc_id long, fp binary"), "wide")
-    classes = common.written(own.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cls", F.monotonically_increasing_id()), "wide-classes")
-    posted = common.map_batches(classes.select("cls", "fp"), post, "key long, cls long, fp binary")
-    posted = posted.repartition(common.partitions_for(docs), "key").sortWithinPartitions("key")
-    edges = common.written(common.map_partitions(posted, join, "a long, b long"), "wide-edges").distinct()
+            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if r != root:
+                    if len(held) > 1:
+                        yield links()
+                    root, held = r, {}
+                own = shingle_set(text, shingle)
+                held[set_class(own)] = own
+        if len(held) > 1:
+            yield links()
+
+    n = common.partitions_for(docs)
+    keyed = docs.withColumn("at", F.xxhash64("text"))
+    own = common.written(common.map_batches(keyed, sets, "doc_id long, at long, cls long, size long, fp binary, prefix binary"), "near-sets")
+    posted = common.map_batches(own.select("cls", "prefix").dropDuplicates(["cls"]), post, "key long, cls long")
+    posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long")
+    posted = common.written(posted, "near-posts")
+    sketches = own.select("cls", "size", "fp").dropDuplicates(["cls"])
+    posted = posted.join(sketches, "cls").select("key", "cls", "size", "fp").repartition(n, "key").sortWithinPartitions("key")
+    found = common.written(common.map_partitions(posted, candidates, "a long, b long"), "near-candidates").distinct()
+    roots = components(found)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root itself has no row
+    classes = common.written(own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("at").alias("at")), "near-classes")
+    members = roots.join(classes, F.col("node") == F.col("cls")).select("root", "at")
+    texts = keyed.join(members, "at").select("root", "text").repartition(n, "root").sortWithinPartitions("root")
+    edges = common.written(common.map_partitions(texts, verify, "a long, b long"), "near-edges")
     roots = components(edges)
-    rooted = classes.select("fp", "least", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "cls").alias("root"))
+    rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.written(rooted.join(named, "root").select("fp", "component_id"), "wide-named")
-    return own.join(named, "fp").select("doc_id", "component_id")
+    named = common.written(rooted.join(named, "root").select("cls", "component_id"), "near-named")
+    return own.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

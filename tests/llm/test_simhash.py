@@ -131,3 +131,40 @@ def test_wide_forest_has_the_components_of_all_links():
         assert roots(range(300), S.wide_forest(fps, most)) == roots(range(300), links)
         keys = np.repeat(np.arange(20), 15)
         assert roots(range(300), S.wide_edges(keys, fps, np.arange(300), most)) == roots(range(300), links)
+
+
+def test_similar_groups_are_those_of_exact_shingle_sets(docs):
+    """Near copies on both sides of a similarity of 0.8, all with one common passage: neither missed nor linked below it."""
+    rng, texts, passage = random.Random(11), [], [f"shared{k}" for k in range(60)]
+    for g in range(50):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((6, 30, 120, 500)))]
+        texts.append(" ".join(words + passage))
+        for _ in range(5):
+            copy, at = list(words), rng.randrange(len(words))
+            for k in range(at, min(len(words), at + round(len(words) * rng.uniform(0, 0.16)))):
+                copy[k] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(copy + passage))
+    texts += ["", " ", "one two", "One  TWO", texts[0].upper()]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    share = {(i, j): len(a & b) / len(a | b) if a | b else 1.0 for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    assert sum(0.75 <= x < 0.8 for x in share.values()) > 20 and sum(0.8 <= x < 0.85 for x in share.values()) > 20
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs(list(enumerate(texts)))).collect()}
+    assert got == roots(range(len(texts)), [p for p, x in share.items() if x >= 0.8])
+
+
+def test_candidates_lose_no_pair_at_the_limit():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 40, 400, 1025, 3000):
+        inter = -(-8 * n // 9)  # of two sets of n: a similarity of 0.8 or just above
+        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:inter], pool[n : 2 * n - inter]]))
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        assert set(S.prefix(a, *none).tolist()) & set(S.prefix(b, *none).tolist())
+        both = S.Sketches([S.sketch(a).tobytes(), S.sketch(b).tobytes()], np.array([len(a), len(b)]))
+        assert both.may_share(np.array([0]), np.array([1])).all()
+        assert S.shared_forest([a, b]) == [(0, 1)]
