@@ -91,7 +91,6 @@ def _plain() -> dict[int, str]:
 PLAIN = _plain()
 ODD = re.compile("[" + "".join(map(re.escape, INVISIBLE)) + "".join(re.escape(chr(c)) for c in sorted(PLAIN)) + "]")
 HIDDEN = re.compile("[" + INVISIBLE + "]+")
-AT_DOT = re.compile(r"(?i)[(\[{<]\s*+(?:at|dot|@|\.|arroba|punto|punkt)\s*+[)\]}>]|\s(?:at|arroba)\s+[A-Z0-9-]{1,64}\s+(?:dot|punto|punkt)\s")
 OPEN_AT = re.compile(r"(?i)\s{0,3}[(\[{<]\s*+(at|@|arroba|dot|\.|punto|punkt)\s*+[)\]}>]\s{0,3}")
 BARE_AT = re.compile(r"(?i)(?<=[A-Z0-9])(\s{1,3}(?:at|arroba)\s{1,3})[A-Z0-9-]{1,64}(?:(?:\s{1,3}(?:dot|punto|punkt)\s{1,3}|\.)[A-Z0-9-]{1,64})*?(?:\s{1,3}(?:dot|punto|punkt)\s{1,3})[A-Z0-9-]{1,64}(?:(?:\s{1,3}(?:dot|punto|punkt)\s{1,3}|\.)[A-Z0-9-]{1,64})*")
 BARE_DOT = re.compile(r"(?i)\s{1,3}(?:dot|punto|punkt)\s{1,3}")
@@ -118,7 +117,8 @@ def has_spelled(low: str) -> bool:
 
 
 def has_disguise(text: str, low: str) -> bool:
-    return ("(" in text or "[" in text or "{" in text or "<" in text or "dot" in low or "punto" in low or "punkt" in low) and bool(AT_DOT.search(text))
+    """Never false where at_and_dot would rewrite something: each of its rules needs an open bracket or a dot written out."""
+    return "(" in text or "[" in text or "{" in text or "<" in text or "dot" in low or "punto" in low or "punkt" in low
 
 
 class Mapped:

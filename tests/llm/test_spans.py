@@ -55,6 +55,14 @@ def test_disguises(text, kind, part):
     assert (kind, at, at + len(part)) in added
 
 
+@pytest.mark.parametrize(("text", "part"), [("write to john@example dot com today", "john@example dot com"), ("jane at uni.example dot edu now", "jane at uni.example dot edu")])
+def test_at_and_dot_stand_alone(text, part):
+    """A disguise is found without another, bracketed one elsewhere in the text, and with it alike."""
+    at = text.index(part)
+    for far in ("", " " + "filler " * 50 + "(at)"):
+        assert ("email", at, at + len(part)) in pii.find_pii(text + far)[1]
+
+
 @pytest.mark.parametrize("text", ["", "We met at noon and one of the two left.", "Das ist ein Satz ohne Daten.", "Il y a un ou deux mots ici, six ou sept."])
 def test_clean_text_adds_nothing(text):
     assert pii.find_pii(text) == ([], [])
