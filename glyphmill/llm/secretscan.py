@@ -1,16 +1,18 @@
 """Secret scan: base patterns, and novelty against a dictionary-primed zstandard compressor.
 
-Added spans (kind novel): a string of MIN_LENGTH or more characters that stands within REACH characters behind a sensitive word, on the
-same line, and holds a digit and letters. Its novelty is the bytes that it adds to the compressed form of the text around it,
-by a compressor primed with identifiers that code commonly uses. Names, words and copies of what stands nearby cost little; a string
-that costs MIN_BITS bits a character or more is reported.
+Added spans (kind novel): a string of MIN_LENGTH or more characters that starts within REACH characters behind a sensitive word, on its
+line or below, or goes on from such a string on the next line, and holds a digit and letters. Its novelty is the bytes that it adds to the
+compressed form of the text around it, by a compressor primed with identifiers that code commonly uses; the lines of a wrapped string also count together. Names, words and copies of what stands
+nearby cost little; a string is reported that costs MIN_BITS bits a character or more, or as much as random characters of its own
+alphabet (hexadecimal digits: 4 bits) where that is less, for compression comes close to that in long strings.
 
-Edge cases. Null and empty texts: no spans. Long texts: every pattern runs in linear time. A candidate that overlaps a base span is not added again.
+Edge cases. Null and empty texts: no spans. Long texts: every pattern runs in linear time. A candidate within a base span is not added again.
 Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 
@@ -25,10 +27,14 @@ ORDER = {k: i for i, k in enumerate((*KINDS, "novel"))}
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-SENSITIVE = re.compile(r"(?ai)passphrase|password|passwd|secret|token|credential|bearer|authorization|api[_-]?key|private[_-]?key|access[_-]?key|signing[_-]?key")
+SENSITIVE = re.compile(r"(?ai)passphrase|password|passwd|secret|token|credential|bearer|authorization|(?:api|private|access|signing)(?:[_-]|\s{1,3})?key")
 SENSITIVE_PARTS = ("passphrase", "passw", "secret", "token", "credential", "bearer", "authorization", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]+")
+#: Between the lines of a wrapped string.
+WRAP = re.compile(r"""[\x20\t"'\\+,]{0,8}\r?\n[\x20\t"'+]{0,64}""")
 MIN_LENGTH, REACH, AROUND, MIN_BITS = 16, 64, 160, 6.0
+#: Share of an alphabet's bits that counts as random, as a sample of it has somewhat less.
+RANDOM = 0.95
 #: What prose and code are made of, so that it compresses to little.
 IDENTIFIERS = """
 import from return class function const static public private protected void string int float double boolean true false null none self this
@@ -55,6 +61,16 @@ def novelty(text: str, start: int, end: int) -> float:
     return 8 * (size(before + after + text[start:end]) - size(before + after)) / (end - start)
 
 
+def alphabet_bits(s: str) -> float:
+    """Bits a character of random strings in the alphabet of s: digits, hexadecimal letters or all of a case, and its other characters."""
+    seen = set(s)
+    size = 10 * any(c.isdigit() for c in seen) + sum(not c.isalnum() for c in seen)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if own := seen & set(letters):
+            size += 6 if own <= set(letters[:6]) else 26
+    return math.log2(size)
+
+
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if ":" in text or "=" in text:
@@ -66,25 +82,30 @@ def base_spans(text: str) -> list[Span]:
 
 
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
-    found: dict[tuple[int, int], None] = {}
+    found: dict[tuple[int, int], int] = {}  # and where the string starts that it continues
     low = text.lower()
     if not any(x in low for x in SENSITIVE_PARTS):
         return []
     for word in SENSITIVE.finditer(text):
-        stop = text.find("\n", word.end(), word.end() + REACH)
-        for m in CANDIDATE.finditer(text, word.end(), len(text)):
-            if m.start() >= (stop if stop >= 0 else word.end() + REACH):
+        last = None
+        for m in CANDIDATE.finditer(text, word.end()):
+            wrapped = last is not None and last[1] - last[0] >= MIN_LENGTH and WRAP.fullmatch(text, last[1], m.start())
+            if m.start() >= word.end() + REACH and (m.span() in found or not wrapped):
                 break
-            found[m.start(), m.end()] = None
-    out = []
-    for start, end in found:
+            found.setdefault(m.span(), found[last] if wrapped else m.start())
+            last = m.span()
+    measured: dict[int, list[tuple[int, int, float, float]]] = {}
+    for (start, end), first in found.items():
         s = text[start:end]
         if end - start < MIN_LENGTH or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or "://" in s:
             continue
-        if any(start < e and b < end for _, b, e in base):
+        if any(b <= start and end <= e for _, b, e in base):
             continue
-        if novelty(text, start, end) >= MIN_BITS:
-            out.append(("novel", start, end))
+        measured.setdefault(first, []).append((start, end, novelty(text, start, end), min(MIN_BITS, RANDOM * alphabet_bits(s))))
+    out = []
+    for lines in measured.values():
+        whole = sum((e - b) * bits for b, e, bits, _ in lines) >= sum((e - b) * least for b, e, _, least in lines)
+        out += [("novel", b, e) for b, e, bits, least in lines if whole or bits >= least]
     return out
 
 
