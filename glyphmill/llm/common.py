@@ -14,11 +14,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 LOCAL_SCRATCH = os.path.join(tempfile.gettempdir(), "glyphmill-scratch")
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -38,9 +41,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
+    """The folder of spark.checkpoint.dir, or the one given to setCheckpointDir; where neither is set (tests, one machine), a folder of our own.
+
+    A folder of one machine serves a local master only, so any other without a checkpoint folder is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: master {master} needs a folder that the driver and all executors share")
         at = "file://" + LOCAL_SCRATCH
     return at.rstrip("/")
 
@@ -48,23 +57,26 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. It is deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/glyphmill-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clear, spark)
+    if not _clearing:
+        _clearing.append(atexit.register(_clear, spark))
     _made.append(path)
     return path
 
 
 _made: list[str] = []
+_clearing: list = []
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).delete(at, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def _clear(spark: SparkSession) -> None:
-    for path in _made:
+    for path in list(_made):
         try:
             drop_path(spark, path)
         except Exception:  # noqa: BLE001  the session is gone already: nothing is left to do at exit
@@ -73,16 +85,21 @@ def _clear(spark: SparkSession) -> None:
 
 def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    return written_at(df, name, by)[0]
+
+
+def written_at(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """As written, with the path, for loops that drop what they no longer need."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     out = df.write.option("compression", "zstd")
     if by:
         out = out.partitionBy(*by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """mapInArrow of a function on single batches; empty batches pass as nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +126,24 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bits of an id filter: at least, at most (16 MB), and for each id.
-LEAST_BITS, MOST_BITS, BITS_AN_ID = 1 << 12, 1 << 27, 16
+#: Bits of a key filter: at least, at most (16 MB), and for each key.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 12, 1 << 27, 16
+
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def id_filter(ids: DataFrame) -> tuple[bytes, int]:
-    """Bloom filter of a column of ids (long), four bits each, made by an aggregation; at most MOST_BITS / 8 bytes."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_AN_ID * max(ids.count(), 1) - 1).bit_length()))
-    at = ids.select(F.explode(F.array(*_places(F.col(ids.columns[0]), bits))).alias("at"))
+
+def text_key(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes that stand for a text; null counts as empty."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t), F.xxhash64(F.lit(1), t)]
+
+
+def key_filter(keys: DataFrame) -> tuple[bytes, int]:
+    """Bloom filter of rows, four bits each, made by an aggregation; at most MOST_BITS / 8 bytes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(keys.count(), 1) - 1).bit_length()))
+    at = keys.select(F.explode(F.array(*_places([F.col(c) for c in keys.columns], bits))).alias("at"))
     word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
     rows = at.select(F.shiftright("at", 6).alias("word"), word.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(bits // 64, np.int64)
@@ -124,19 +151,24 @@ def id_filter(ids: DataFrame) -> tuple[bytes, int]:
     return words.tobytes(), bits
 
 
-def _places(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(4)]
+def _places(key: list[Column], bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), *key), F.lit(bits)) for k in range(4)]
 
 
-def only(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is decided to be kept; decided: doc_id, kept. Equal rows of one id stay once.
+def only(docs: DataFrame, key: list[Column], decided: DataFrame) -> DataFrame:
+    """Rows of docs whose key is decided to be kept, all columns as they are. Of rows that share a kept key, one stays.
 
-    A filter holds the ids that are dropped or that several rows share. Rows that it doesn't hold pass as they are, without a shuffle;
-    the others are joined exactly. So what is shuffled follows what is dropped.
+    key: columns of docs (an id and what stands for the text). decided: those key columns under any names, then kept, a row for each row of docs.
+    Of rows that share a kept key, the one whose JSON form sorts first stays. No column name of docs is reserved: the row travels as one struct.
+
+    A filter holds the keys that are dropped or that several rows share. Rows that it doesn't hold pass as they are, without a shuffle;
+    the others are joined exactly. So what is shuffled follows what is dropped. Null key parts equal each other. Empty tables: no rows.
     """
-    per = decided.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    odd = written(per.where("not kept or n > 1").select("doc_id", "kept"), "odd-ids")
-    held, bits = id_filter(odd.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")))
+    names = [f"k{i}" for i in range(len(key))]
+    decided = decided.toDF(*names, "kept")
+    per = decided.groupBy(*names).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    odd = written(per.where("not kept or n > 1").select(*names, "kept"), "odd-keys")
+    held, bits = key_filter(odd.select(*names))
     words = docs.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf("boolean")
@@ -149,12 +181,12 @@ def only(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFra
         return pd.Series(hit)
 
     ship(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    marked = docs.withColumn("_maybe", may_hold(*_places(key, bits)))
-    dropped, columns = odd.withColumnRenamed("doc_id", "_id").withColumnRenamed("kept", "_kept"), docs.columns
-    checked = marked.where("_maybe").join(dropped.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").where("_id is null and _kept is null or _kept")
-    return marked.where("not _maybe").select(*columns).unionByName(checked.select(*columns).dropDuplicates())
-
-
-#: Stands for a null id in a filter.
-NO_ID = -(1 << 63) + 1
+    packed = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("row"), *(k.alias(n) for k, n in zip(key, names, strict=True)))
+    marked = packed.withColumn("maybe", may_hold(*_places([F.col(n) for n in names], bits)))
+    same = F.lit(True)
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col(f"o{n}"))
+    checked = marked.where("maybe").join(odd.toDF(*(f"o{n}" for n in names), "kept").hint("merge"), same, "left")
+    lone = checked.where("kept is null").select("row")
+    shared = checked.where("kept").groupBy(*names).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return marked.where("not maybe").select("row").unionByName(lone).unionByName(shared).select("row.*")

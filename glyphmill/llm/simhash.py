@@ -22,8 +22,10 @@ the answer doesn't depend on the order.
 2. Sketches. A set's sketch has a bit for each of 512 parts of the hashes, of more where it is large: the parity of its count. Sketches of one
 width differ in at most as many bits as the sets differ in shingles; a wider one is folded to half its width. So a pair at one post that differs in more bits than 0.8 allows for its sizes, or whose sizes alone rule 0.8 out, is no
 link; the others are candidates, and a forest of them has the components of all candidates.
-3. Sets. Components of candidates are cut to those of true links: their texts meet in a task, which compares exact shingle sets.
-Sets hold 64-bit hashes of shingles. A component of candidates is held by one task.
+3. Sets. Components of candidates are cut to those of true links by counting what exact shingle sets share. A component of up to PART shingles in
+all meets in a task. A larger one is never gathered: its hub (the text with the most candidate edges) goes to parts of its texts, and what
+links with the hub is one component already. Only what doesn't is compared with the rest, a part with a part, so a family of near
+copies costs a comparison each, and a task holds two parts. Sets hold 64-bit hashes of shingles.
 
 Edge cases. Null and empty texts, or white space alone: fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is the one shingle. Null ids: they take part, and the smallest id that is not null names the component. Repeated rows: each is
@@ -45,13 +47,12 @@ from . import common
 MOST = 4
 SEED = 42
 CHUNK = 1 << 16
-VIEWS, WIDE_MOST = 4, 42
 #: Least Jaccard similarity of similar_groups as a fraction; least words of a sketch.
 SHARE, SKETCH = (4, 5), 8
 #: Documents of the sample that the order of shingles is taken from, in how many of them a shingle is common, and most common ones. Not part of the answer.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 100_000
-#: Odd multipliers of the mixings, the constants of a public 64-bit finalizer.
-MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: Shingles of a part: texts of a component of candidates are compared in parts of about this many.
+PART = 1 << 15
 #: Runs up to this length are compared by shifted copies of the sorted posts; longer ones by a search each.
 SHORT_RUN = 24
 
@@ -76,17 +77,12 @@ def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([h(spaced[i:j], SEED) for i, j in zip(a, b, strict=True)], np.uint64)
 
 
-def _counts(text: bytes, shingle: int, views: tuple[int, ...]) -> tuple[np.ndarray, int]:
-    """How often each bit is set in the shingles' hashes, 64 for each view, and the number of shingles. A view of 1 is the hash itself."""
-    counts, n = np.zeros((len(views), 64), np.int64), 0
+def _counts(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
+    """How often each bit is set in the shingles' hashes, and the number of shingles."""
+    counts, n = np.zeros(64, np.int64), 0
     for hashes in _hashes(text, shingle):
         n += len(hashes)
-        for v, mixer in enumerate(views):
-            x = hashes
-            if mixer != 1:
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(mixer)
-                x ^= x >> np.uint64(29)
-            counts[v] += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return counts, n
 
 
@@ -119,6 +115,11 @@ def prefix(own: np.ndarray, common_ones: np.ndarray, often: np.ndarray) -> np.nd
     return own[np.argsort(rank, kind="stable")[: n - -(-SHARE[0] * n // SHARE[1]) + 1]]
 
 
+def distinct(edges: np.ndarray) -> np.ndarray:
+    """Edges as rows, each once, the smaller end first."""
+    return np.unique(np.sort(edges.reshape(-1, 2), axis=1), axis=0)
+
+
 class Sketches:
     """Sketches of rows and their sets' sizes; each also folded to half its width, so that those of similar sizes compare."""
 
@@ -160,8 +161,8 @@ class Sketches:
                     left = left[~near]
         return edges
 
-    def edges(self, keys: np.ndarray, ids: np.ndarray) -> set[tuple[int, int]]:
-        """Edges of ids among posts that are sorted by key; whole runs of a key."""
+    def edges(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Distinct edges of ids, the smaller first, among posts that are sorted by key; whole runs of a key."""
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(first, len(keys)))
         long = size > SHORT_RUN
@@ -177,17 +178,16 @@ class Sketches:
             a, b = at[same], at[same + d]
             near = self.may_share(a, b)
             out.append(ids[np.stack([a[near], b[near]], axis=1)])
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return set(map(tuple, pairs.tolist()))
+        return distinct(np.concatenate(out))
 
 
-def shared_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among shingle sets: SHARE of their shingles in common, counted."""
+def shared_forest(sets: list[np.ndarray], joined: int = 0) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among shingle sets: SHARE of their shingles in common, counted. The first sets, as many as joined, are known to hang together."""
     num, den = SHARE
     sizes = np.array([len(x) for x in sets], np.int64)
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
-    marks, left, edges = np.zeros(len(values), bool), np.arange(len(sets)), []
+    marks, left, edges = np.zeros(len(values), bool), np.arange(joined, len(sets)), []
 
     def of(i: int) -> np.ndarray:
         return codes[ends[i] - sizes[i] : ends[i]]
@@ -195,8 +195,10 @@ def shared_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     def gather() -> tuple[np.ndarray, np.ndarray]:
         return (np.concatenate([of(i) for i in left]), np.cumsum(sizes[left]) - sizes[left]) if len(left) else (codes[:0], left)
 
-    while len(left) > 1:
-        front, left = [int(left[0])], left[1:]
+    front = list(range(joined))
+    while len(left) > 0:
+        if not front:
+            front, left = [int(left[0])], left[1:]
         flat, starts = gather()
         while front and len(left):
             at = front.pop()
@@ -209,21 +211,23 @@ def shared_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
                 front += left[near].tolist()
                 left = left[~near]
                 flat, starts = gather()
+        front = []
     return edges
 
 
+def share(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have SHARE of their shingles in common."""
+    num, den = SHARE
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """Unsigned 64-bit fingerprint of a text in UTF-8; without words zero."""
-    counts, n = _counts(text, shingle, (1,))
+    counts, n = _counts(text, shingle)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
-    """64 bits of each mixing; without words zeros."""
-    counts, n = _counts(text, shingle, MIXERS[:VIEWS])
-    return np.packbits(counts * 2 > n, axis=1).tobytes() if n else bytes(8 * VIEWS)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long)."""
 
@@ -351,11 +355,14 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(r)
 
-    e = common.written(edges.select("a", "b"), "cc")
+    spark = edges.sparkSession
+    e, at = common.written_at(edges.select("a", "b"), "cc")
     before = sign(e)
     while True:
-        e = common.written(stars(stars(e, True), False), "cc")
+        e, now_at = common.written_at(stars(stars(e, True), False), "cc")
         now = sign(e)
+        common.drop_path(spark, at)
+        at = now_at
         if now == before:
             break
         before = now
@@ -369,49 +376,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = common.written(classes, "simhash-classes")
     roots = components(links(classes, most))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    named = common.written(named, "simhash-named")
+    # written, so that the join reads a plain exchange, which adaptive execution splits where one component is most of the rows
+    named = common.written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
+    named = common.written(rooted.join(named, "root").select("fp", "component_id"), "simhash-named")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """As forest, of rows of several words; edges are row numbers."""
-    left, edges = np.arange(len(fps)), []
-    while len(left) > 1:
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
-            at = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1, dtype=np.int32) <= most
-            if near.any():
-                edges += [(at, int(x)) for x in left[near]]
-                front += left[near].tolist()
-                left = left[~near]
-    return edges
-
-
-def wide_edges(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, most: int) -> set[tuple[int, int]]:
-    """Edges of ids among posts that are sorted by key; whole runs of a key."""
-    out: set[tuple[int, int]] = set()
-    if len(keys) < 2:
-        return out
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(first, len(keys)))
-    long = size > SHORT_RUN
-    for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
-        own = ids[a : a + n]
-        out.update((int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j in wide_forest(fps[a : a + n], most))
-    short = np.repeat(~long, size)
-    k, f, own = keys[short], fps[short], ids[short]
-    for d in range(1, SHORT_RUN):
-        same = np.flatnonzero(k[d:] == k[:-d])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(f[same] ^ f[same + d]).sum(axis=1, dtype=np.int32) <= most]
-        out.update(zip(np.minimum(own[near], own[near + d]).tolist(), np.maximum(own[near], own[near + d]).tolist(), strict=True))
-    return out
-
-
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (ascending) that several documents of a sample hold, and in how many of it."""
 
@@ -444,8 +414,11 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, component_id: components of documents whose shingle sets have a Jaccard similarity of SHARE or more."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, part: int = PART) -> DataFrame:
+    """doc_id, ta, tb (common.text_key of the text), component_id, stays: components of documents whose shingle sets have a Jaccard similarity of SHARE or more.
+
+    stays marks, in each component, the row of the least id that is not null (of equal ids the least text key); rows that share id and text are all marked.
+    """
     docs = common.id_text(docs, id_col, text_col)
     ordered = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
@@ -453,7 +426,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = [shingle_set(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         cols = [pa.array([set_class(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())]
         cols += [pa.array([sketch(x).tobytes() for x in own], pa.binary()), pa.array([prefix(x, *ordered.value).tobytes() for x in own], pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["doc_id", "at", "cls", "size", "fp", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "ta", "tb", "cls", "size", "fp", "prefix"])
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
@@ -465,60 +438,139 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             same = np.diff(batch.column(0).to_numpy()) == 0
             yield batch.filter(pa.array(np.append(same, False) | np.append(False, same)))
 
-    def edges_out(edges: set[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen = np.zeros((0, 2), np.int64)
         for batch in runs(batches):
             if batch.num_rows:
                 met_at = Sketches(batch.column(3).to_pylist(), batch.column(2).to_numpy())
-                seen |= met_at.edges(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                seen = distinct(np.concatenate([seen, met_at.edges(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
             if len(seen) >= CHUNK:
                 yield edges_out(seen)
-                seen = set()
-        if seen:
-            yield edges_out(seen)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, held = None, {}
-
-        def links() -> pa.RecordBatch:
-            ids = list(held)
-            return edges_out({(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in shared_forest(list(held.values()))})
-
-        for batch in batches:
-            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if r != root:
-                    if len(held) > 1:
-                        yield links()
-                    root, held = r, {}
-                own = shingle_set(text, shingle)
-                held[set_class(own)] = own
-        if len(held) > 1:
-            yield links()
+                seen = seen[:0]
+        yield edges_out(seen)
 
     n = common.partitions_for(docs)
-    keyed = docs.withColumn("at", F.xxhash64("text"))
-    own = common.written(common.map_batches(keyed, sets, "doc_id long, at long, cls long, size long, fp binary, prefix binary"), "near-sets")
+    keyed = docs.select("*", *(k.alias(c) for k, c in zip(common.text_key(F.col("text")), ("ta", "tb"), strict=True)))
+    own = common.written(common.map_batches(keyed, sets, "doc_id long, ta long, tb long, cls long, size long, fp binary, prefix binary"), "near-sets")
     posted = common.map_batches(own.select("cls", "prefix").dropDuplicates(["cls"]), post, "key long, cls long")
     posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long")
     posted = common.written(posted, "near-posts")
     sketches = own.select("cls", "size", "fp").dropDuplicates(["cls"])
     posted = posted.join(sketches, "cls").select("key", "cls", "size", "fp").repartition(n, "key").sortWithinPartitions("key")
-    found = common.written(common.map_partitions(posted, candidates, "a long, b long"), "near-candidates").distinct()
-    roots = components(found)
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root itself has no row
-    classes = common.written(own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("at").alias("at")), "near-classes")
-    members = roots.join(classes, F.col("node") == F.col("cls")).select("root", "at")
-    texts = keyed.join(members, "at").select("root", "text").repartition(n, "root").sortWithinPartitions("root")
-    edges = common.written(common.map_partitions(texts, verify, "a long, b long"), "near-edges")
+    found = common.written(common.map_partitions(posted, candidates, "a long, b long").distinct(), "near-candidates")
+    classes = common.written(own.groupBy("cls").agg(F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ta", "tb")).alias("least")), "near-classes")
+    edges = true_links(found, classes.select("cls", "size", "least.ta", "least.tb"), keyed.select("text", "ta", "tb"), shingle, part)
     roots = components(edges)
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.written(rooted.join(named, "root").select("cls", "component_id"), "near-named")
-    return own.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
+    # written, so that the join reads a plain exchange, which adaptive execution splits where one component is most of the rows
+    named = common.written(rooted.groupBy("root").agg(F.min("least").alias("stays")), "near-roots")
+    named = common.written(rooted.join(named, "root").select("cls", "stays"), "near-named")
+    out = own.select("doc_id", "ta", "tb", "cls").join(named, "cls")
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("ta") == F.col("stays.ta")) & (F.col("tb") == F.col("stays.tb"))
+    return out.select("doc_id", "ta", "tb", F.col("stays.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def edges_out(edges: np.ndarray) -> pa.RecordBatch:
+    pairs = distinct(edges)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def forest_of(members: list[tuple[int, np.ndarray]], joined: int = 0) -> pa.RecordBatch:
+    """Edges of classes by shared_forest of (class, set)."""
+    found = np.array(shared_forest([x for _, x in members], joined), np.int64).reshape(-1, 2)
+    return edges_out(np.array([c for c, _ in members], np.int64)[found])
+
+
+def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, part: int = PART) -> DataFrame:
+    """Edges a < b among classes of shingle sets, whose components are those of all links within components of candidates.
+
+    found: candidate edges a, b. classes: cls, size, ta, tb (the key of a text of the class). texts: text, ta, tb.
+    """
+    n = common.partitions_for(found)
+    roots = components(found)
+    roots = common.written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-roots")  # a root itself has no row
+    members = roots.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "size", "ta", "tb")
+    some = members.join(texts, ["ta", "tb"], "inner").groupBy("root", "cls", "size", "ta", "tb").agg(F.first("text").alias("text"))
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingle_set(t, shingle).tobytes() for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["root", "cls", "size", "own"])
+
+    sets = common.written(common.map_batches(some.select("root", "cls", "size", "text"), hashed, "root long, cls long, size long, own binary"), "near-members")
+    ends = found.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+    hubs = members.join(ends, "cls").groupBy("root").agg(F.sum("size").alias("total"), F.max(F.struct("degree", "cls"))["cls"].alias("hub"))
+    hubs = common.written(hubs.withColumn("parts", F.ceil(F.col("total") / part).cast("int")), "near-hubs")
+    of = sets.join(hubs, "root")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 1):
+            if len(group) > 1:
+                yield forest_of([(c, np.frombuffer(own, np.uint64)) for _, c, own in group])
+
+    small = of.where("parts = 1").select("root", "cls", "own").repartition(n, "root").sortWithinPartitions("root", "cls")
+    edges = common.written(common.map_partitions(small, together, "a long, b long"), "near-edges")
+    large = hubs.where("parts > 1")
+    if large.isEmpty():
+        return edges
+
+    def with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for root, p, member, c, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                if not member:
+                    at, hub = (root, p), own
+                elif at == (root, p):
+                    out.append((root, c, share(hub, own)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)] if out else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["root", "cls", "joined"])
+
+    big = of.where("parts > 1").select("root", "cls", "own", "hub", "parts")
+    dealt = big.where("cls <> hub").select("root", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "cls", "own")
+    sent = big.where("cls = hub").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "cls", "own")
+    met = dealt.unionByName(sent).repartition(n, "root", "part").sortWithinPartitions("root", "part", "member")
+    joined = common.written(common.map_partitions(met, with_hub, "root long, cls long, joined boolean"), "near-joined")
+    star = joined.where("joined").join(large.select("root", "hub"), "root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
+    open_ones = joined.where("not joined").select("root", "cls").join(classes.select("cls", "size"), "cls")
+    open_parts = common.written(open_ones.groupBy("root").agg(F.ceil(F.sum("size") / part).cast("int").alias("open_parts")), "near-open")
+
+    def parts_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            once = {c: (joined, np.frombuffer(own, np.uint64)) for *_, joined, c, own in group}
+            first = [(c, own) for c, (joined, own) in once.items() if joined]
+            rest = [(c, own) for c, (joined, own) in once.items() if not joined]
+            if rest and len(once) > 1:
+                yield forest_of(first + rest, len(first))
+
+    state = joined.select("cls", "joined")
+    all_of = big.join(open_parts, "root").join(state, "cls", "left").select("root", "cls", "own", "parts", "open_parts", F.coalesce("joined", F.lit(True)).alias("joined"))
+    of_part = lambda c: F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.col(c))).cast("int")
+    across = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col(c)) - 1))
+    left = all_of.where("not joined").select("root", of_part("open_parts").alias("i"), across("parts").alias("j"), "joined", "cls", "own")
+    right = all_of.select("root", across("open_parts").alias("i"), of_part("parts").alias("j"), "joined", "cls", "own")
+    pairs = left.unionByName(right).repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    crossed = common.written(common.map_partitions(pairs, parts_meet, "a long, b long"), "near-crossed")
+    return edges.unionByName(star).unionByName(crossed).distinct()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of batches that are sorted by their first columns, as many as keys, a group at a time."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != at:
+                if held:
+                    yield held
+                at, held = row[:keys], []
+            held.append(row)
+    if held:
+        yield held
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs with one row of each component of similar_groups, all columns as they are. Edge cases as there and in common.only."""
+    decided = common.written(similar_groups(docs, id_col, text_col, shingle).select("doc_id", "ta", "tb", "stays"), "near-decided")
+    return common.only(docs, [docs[common.quoted(id_col)].cast("long"), *common.text_key(docs[common.quoted(text_col)])], decided)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

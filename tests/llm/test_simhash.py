@@ -122,17 +122,6 @@ def test_similar_groups_edges(edge_docs):
     assert S.similar_groups(edge_docs.limit(0)).count() == 0
 
 
-def test_wide_forest_has_the_components_of_all_links():
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 63, (20, S.VIEWS)).astype(np.uint64)
-    fps = np.repeat(base, 15, axis=0) ^ np.uint64(1) << rng.integers(0, 64, (300, S.VIEWS)).astype(np.uint64)
-    for most in (3, 6):
-        links = [(i, j) for i in range(300) for j in range(i + 1, 300) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= most]
-        assert roots(range(300), S.wide_forest(fps, most)) == roots(range(300), links)
-        keys = np.repeat(np.arange(20), 15)
-        assert roots(range(300), S.wide_edges(keys, fps, np.arange(300), most)) == roots(range(300), links)
-
-
 def test_similar_groups_are_those_of_exact_shingle_sets(docs):
     """Near copies on both sides of a similarity of 0.8, all with one common passage: neither missed nor linked below it."""
     rng, texts, passage = random.Random(11), [], [f"shared{k}" for k in range(60)]
