@@ -51,3 +51,24 @@ def test_filter_has_no_false_negatives():
 def test_unknown_keep(docs):
     with pytest.raises(ValueError):
         X.dedup(docs([(1, "a")]), keep="first")
+
+
+def test_merged_runs_keep_one_entry_a_digest(spark):
+    rows = [(bytes([k % 7]), (k * 13) % 50 if k % 5 else None, 1 + k % 3) for k in range(200)]
+    got = {bytes(r.digest): (r.id, r.n) for r in X.merged_runs(spark.createDataFrame(rows, "digest binary, id long, n long").repartition(5), "smallest").collect()}
+    want = {d: (min(i for x, i, _ in rows if x == d and i is not None), sum(n for x, _, n in rows if x == d)) for d, *_ in rows}
+    assert got == want
+
+
+def test_index_is_kept_and_grown(spark, docs, tmp_path):
+    """Batch by batch, with compaction on the way, against a plain dictionary."""
+    folder, held = f"file://{tmp_path}/index", {}
+    batches = [[(5, "a"), (6, "b"), (7, "A")], [(1, "a"), (8, "c")], [], [(None, "d"), (9, None)], [(3, "b"), (10, ""), (2, "d")]]
+    for batch in batches:
+        got = sorted(((r.doc_id, r.seen, r.keep_id) for r in X.extend(docs(batch) if batch else docs([(1, "x")]).limit(0), folder, most_levels=3).collect()), key=repr)
+        before, norm = dict(held), lambda t: (t or "").lower()
+        for i, t in batch:
+            ids = [x for x in (held.get(norm(t)), i) if x is not None]
+            held[norm(t)] = min(ids) if ids else None
+        assert got == sorted(((i, norm(t) in before, held[norm(t)]) for i, t in batch), key=repr)
+    assert len(X.levels(spark, folder)) < 3
