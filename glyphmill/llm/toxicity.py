@@ -4,14 +4,16 @@ Features are densities and rates: of a fixed lexicon, of a lexicon learned from
 toxic texts use far more often than others), of the distance between lexicon words and words for the reader, of capitals,
 punctuation, repeated letters and obfuscated words.
 
-Training reads a bounded sample: of the labelled rows whose crc32(doc_id as text) mod 3 is not 1, the MAX_TRAIN rows with the smallest hash of
-their id. The lexicon's counts are made on the cluster; features of a training row come from a lexicon learned without the row's fold,
+Training reads a bounded sample: of the labelled rows whose crc32(doc_id as text) mod 3 is not 1, the MAX_TRAIN ids with the smallest hash.
+The lexicon's counts are made on the cluster; features of a training row come from a lexicon learned without the row's fold,
 and so do the scores that the isotonic curve is fitted to. Scoring covers every row in one pass without a shuffle.
 
+Few labels are no special case. Trees start from a prior, the smoothed share of toxic rows raised by the density of the fixed lexicon, and
+the isotonic curve is fitted to the rows and to PSEUDO weak ones that lie on the logistic curve. Labels outweigh both as they grow in number.
+
 Edge cases. Null and empty texts: all features are zero, and they have a score. Null labels don't train. A row's label,
-language, source and id never enter its score. With fewer than LEAST_CLASS training rows of either class the fixed lexicon alone decides;
-with fewer than FEW toxic ones two of its words also do.
-Repeated rows give repeated results; a repeated label counts once. Empty table: empty result.
+language, source and id never enter its score. Documents that share an id: the one whose text key is least trains, so MAX_TRAIN bounds rows; all are scored.
+Repeated rows give repeated results; of repeated labels the larger counts. No labels: the prior alone. Ties of a score: kept together. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ from . import common
 
 MAX_TRAIN = 20_000
 FOLDS = 4
-LEAST_CLASS, FEW = 5, 30
 THRESHOLD = 0.7
+#: The prior: log odds that a text gains by fixed lexicon words, and the share of words at which it has them all; rows that the share of toxic texts is smoothed by.
+PRIOR, DENSE, SMOOTH = 4.0, 0.01, 10.0
+#: Raw scores of the weak rows that the isotonic curve also fits, and the weight of each.
+PSEUDO, PSEUDO_WEIGHT = np.arange(-8.0, 8.01, 0.5), 0.2
 #: Word beginnings that the lexicon may learn, and how many entries it keeps.
 PREFIXES, MOST_ENTRIES = (4, 5, 6), 4000
 #: Common insults.
@@ -123,16 +128,20 @@ class Trees:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     base: float = 0.0
 
+    def prior(self, x: np.ndarray) -> np.ndarray:
+        """Log odds before the first tree: of the share of toxic rows, and of fixed lexicon words, plain or hidden."""
+        return self.base + PRIOR * np.minimum(1.0, (x[:, NAMES.index("fixed")] + x[:, NAMES.index("hidden")]) / DENSE)
+
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.cuts)], axis=1).astype(np.int32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, least: float = 2.0, ridge: float = 1.0) -> Trees:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) if len(np.unique(c)) > 33 else (np.unique(c)[1:]) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) if len(np.unique(c)) > 33 else np.unique(c)[1:] for c in x.T]
         self.cuts = [c if len(c) else np.array([np.inf]) for c in self.cuts]
         b, width = self.bins(x), max(len(c) for c in self.cuts) + 1
-        p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+        p = (y.sum() + 1.0) / (len(y) + SMOOTH)
         self.base = float(np.log(p / (1 - p)))
-        score = np.full(len(y), self.base)
+        score = self.prior(x)
         for _ in range(rounds):
             q = 1 / (1 + np.exp(-score))
             g, h = q - y, np.maximum(q * (1 - q), 1e-6)
@@ -160,7 +169,7 @@ class Trees:
         return self
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        b, out = self.bins(x), np.full(len(x), self.base)
+        b, out = self.bins(x), self.prior(x)
         rows = np.arange(len(x))
         for feat, cut, value in self.trees:
             node = np.zeros(len(x), np.int64)
@@ -171,44 +180,33 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: score knots and calibrated values, a little shrunk to the mean so that 0 and 1 don't occur."""
-    order = np.argsort(score, kind="stable")
-    s, t = score[order], y[order].astype(float)
-    at, total, count = [], [], []
+    """Pool adjacent violators: score knots and calibrated values, fitted to the rows and to weak rows on the logistic curve."""
+    s = np.concatenate([score, PSEUDO])
+    t = np.concatenate([y.astype(float), PSEUDO_WEIGHT / (1 + np.exp(-PSEUDO))])
+    w = np.concatenate([np.ones(len(y)), np.full(len(PSEUDO), PSEUDO_WEIGHT)])
     uniq, inverse = np.unique(s, return_inverse=True)
-    for knot, a, c in zip(uniq, np.bincount(inverse, t), np.bincount(inverse), strict=True):
-        at.append([knot, knot])
-        total.append(a)
-        count.append(float(c))
-        while len(total) > 1 and total[-2] / count[-2] >= total[-1] / count[-1]:
-            low, _ = at.pop(-2)
-            at[-1][0] = low
-            total[-2:], count[-2:] = [total[-2] + total[-1]], [count[-2] + count[-1]]
-    mean = y.mean()
-    knots, values = [], []
-    for (low, high), a, c in zip(at, total, count, strict=True):
-        v = (a + 0.5 * mean) / (c + 0.5)
-        knots += [low, high]
-        values += [v, v]
-    return np.array(knots), np.maximum.accumulate(np.array(values))
+    blocks: list[list[float]] = []  # low, high, sum, weight
+    for knot, a, c in zip(uniq, np.bincount(inverse, t), np.bincount(inverse, w), strict=True):
+        blocks.append([knot, knot, a, c])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            low, _, a, c = blocks.pop(-2)
+            blocks[-1] = [low, blocks[-1][1], blocks[-1][2] + a, blocks[-1][3] + c]
+    knots = np.array([k for low, high, *_ in blocks for k in (low, high)])
+    return knots, np.repeat([a / c for *_, a, c in blocks], 2)
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
-    trees: Trees | None = None
-    knots: np.ndarray | None = None
-    values: np.ndarray | None = None
-    few: bool = False
+    trees: Trees
+    knots: np.ndarray
+    values: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         x = np.array([features(t, self.lexicon) for t in texts], float)
-        if self.trees is None:
-            return np.where(x[:, 1] + x[:, 12] > 0, 0.9, 0.05)
-        out = np.clip(np.interp(self.trees.raw(x), self.knots, self.values), 0.0, 1.0)
-        return np.maximum(out, np.where(x[:, 1] >= 2, 0.9, 0.0)) if self.few else out
+        return np.clip(np.interp(self.trees.raw(x), self.knots, self.values), 0.0, 1.0)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -220,8 +218,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     ids = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     ids = ids.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     ids = common.written(ids, "tox-ids")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = own.join(F.broadcast(ids), "doc_id")
+    found = common.id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
+    rows = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(*common.text_key(F.col("text")))).alias("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
     return common.written(rows.select("text", "y", fold.alias("fold")), "tox-train")
 
@@ -264,9 +262,6 @@ def learned(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Lexicon]
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     rows = training_rows(docs, labels, id_col, text_col, max_train)
     sizes = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = (sum(v for (_, y), v in sizes.items() if y == k) for k in (1, 0))
-    if min(pos, neg) < LEAST_CLASS:
-        return Model(Lexicon())
     lexicons = learned(rows, sizes)
     held = rows.sparkSession.sparkContext.broadcast(lexicons)
 
@@ -277,16 +272,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # at most max_train rows of few numbers
     got = common.map_batches(rows, f, "x array<double>, y int, fold int").toArrow()
-    x = np.array(got.column("x").to_pylist(), float)
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     y, fold = got.column("y").to_numpy().astype(float), got.column("fold").to_numpy()
     order = np.lexsort((*x.T[::-1], y, fold))
     x, y, fold = x[order], y[order], fold[order]
     out = np.zeros(len(y))
     for k in np.unique(fold):
         rest = fold != k
-        out[~rest] = Trees().fit(x[rest], y[rest]).raw(x[~rest]) if len(np.unique(y[rest])) == 2 else Trees().fit(x, y).raw(x[~rest])
-    knots, values = isotonic(out, y)
-    return Model(lexicons[-1], Trees().fit(x, y), knots, values, pos < FEW)
+        out[~rest] = Trees().fit(x[rest], y[rest]).raw(x[~rest])
+    return Model(lexicons[-1], Trees().fit(x, y), *isotonic(out, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -302,13 +296,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, all columns as they are."""
+    """The rows of docs that score below the threshold, all columns as they are. Null texts count as empty; equal rows are judged alike."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(held.value.scores(batch.column(at).fill_null("").to_pylist()) < threshold))
 
-    return common.map_batches(docs, f, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return common.map_batches(docs, f, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
