@@ -1,19 +1,23 @@
 """Secret scan: base patterns, and novelty against a dictionary-primed zstandard compressor.
 
-Added spans (kind novel): a string of MIN_LENGTH or more characters that starts within REACH characters behind a sensitive word, on its
+Added spans (kind novel): a string of MIN_LENGTH or more characters that starts within REACH characters behind the sensitive word before it, on its
 line or below, or goes on from such a string on the next line, and holds a digit and letters. Its novelty is the bytes that it adds to the
 compressed form of the text around it, by a compressor primed with identifiers that code commonly uses; the lines of a wrapped string also count together. Names, words and copies of what stands
 nearby cost little; a string is reported that costs MIN_BITS bits a character or more, or as much as random characters of its own
 alphabet (hexadecimal digits: 4 bits) where that is less, for compression comes close to that in long strings.
 
-Edge cases. Null and empty texts: no spans. Long texts: every pattern runs in linear time. A candidate within a base span is not added again.
-Repeated rows give repeated results.
+A string ends where the next sensitive word begins and belongs to the nearest word before it, so no character is looked at twice, added spans
+don't overlap, and none holds a sensitive word. At most AROUND characters on both sides are compressed with a string.
+
+Edge cases. Null and empty texts: no spans. Long texts: every step is linear. A candidate within a base span is not added again.
+Repeated rows give repeated results. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from functools import cache
 
 import zstandard
@@ -30,6 +34,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"(?ai)passphrase|password|passwd|secret|token|credential|bearer|authorization|(?:api|private|access|signing)(?:[_-]|\s{1,3})?key")
 SENSITIVE_PARTS = ("passphrase", "passw", "secret", "token", "credential", "bearer", "authorization", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]+")
+#: Between a word and its value, not part of it.
+JOINT = "=_~.-"
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Between the lines of a wrapped string.
 WRAP = re.compile(r"""[\x20\t"'\\+,]{0,8}\r?\n[\x20\t"'+]{0,64}""")
 MIN_LENGTH, REACH, AROUND, MIN_BITS = 16, 64, 160, 6.0
@@ -81,31 +88,47 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def candidates(text: str) -> list[list[tuple[int, int]]]:
+    """Strings behind sensitive words, in order; the lines of a wrapped string in one list."""
+    out: list[list[tuple[int, int]]] = []
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    for k, (_, end) in enumerate(words):
+        last = None
+        for m in CANDIDATE.finditer(text, end, words[k + 1][0] if k + 1 < len(words) else len(text)):
+            wrapped = last is not None and last[1] - last[0] >= MIN_LENGTH and WRAP.fullmatch(text, last[1], m.start())
+            if m.start() >= end + REACH and not wrapped:
+                break
+            if m.start() == end:  # the value follows the word itself
+                last = (m.end() - len(m[0].lstrip(JOINT)), m.end())
+            else:
+                last = m.span()
+            if wrapped:
+                out[-1].append(last)
+            else:
+                out.append([last])
+    return out
+
+
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
-    found: dict[tuple[int, int], int] = {}  # and where the string starts that it continues
     low = text.lower()
     if not any(x in low for x in SENSITIVE_PARTS):
         return []
-    for word in SENSITIVE.finditer(text):
-        last = None
-        for m in CANDIDATE.finditer(text, word.end()):
-            wrapped = last is not None and last[1] - last[0] >= MIN_LENGTH and WRAP.fullmatch(text, last[1], m.start())
-            if m.start() >= word.end() + REACH and (m.span() in found or not wrapped):
-                break
-            found.setdefault(m.span(), found[last] if wrapped else m.start())
-            last = m.span()
-    measured: dict[int, list[tuple[int, int, float, float]]] = {}
-    for (start, end), first in found.items():
-        s = text[start:end]
-        if end - start < MIN_LENGTH or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or "://" in s:
-            continue
-        if any(b <= start and end <= e for _, b, e in base):
-            continue
-        measured.setdefault(first, []).append((start, end, novelty(text, start, end), min(MIN_BITS, RANDOM * alphabet_bits(s))))
+    starts, reach = sorted(b for _, b, _ in base), []
+    for _, _, e in sorted(base, key=lambda x: x[1]):
+        reach.append(max(e, reach[-1] if reach else 0))
     out = []
-    for lines in measured.values():
-        whole = sum((e - b) * bits for b, e, bits, _ in lines) >= sum((e - b) * least for b, e, _, least in lines)
-        out += [("novel", b, e) for b, e, bits, least in lines if whole or bits >= least]
+    for lines in candidates(text):
+        measured = []
+        for start, end in lines:
+            s = text[start:end]
+            if end - start < MIN_LENGTH or "://" in s or not DIGIT.search(s) or not LETTER.search(s):
+                continue
+            at = bisect_right(starts, start)
+            if at and reach[at - 1] >= end:
+                continue
+            measured.append((start, end, novelty(text, start, end), min(MIN_BITS, RANDOM * alphabet_bits(s))))
+        whole = sum((e - b) * bits for b, e, bits, _ in measured) >= sum((e - b) * least for b, e, _, least in measured)
+        out += [("novel", b, e) for b, e, bits, least in measured if whole or bits >= least]
     return out
 
 

@@ -75,6 +75,41 @@ def test_linear_on_runs():
         secretscan.find_secrets(s)
 
 
+SECRET = "Zx81kQ9vT7LmW2pR8sY5uB1nC4dE6fG0"
+
+
+@pytest.mark.parametrize("text", [f"the secret_token{SECRET} x", f"the secret_token={SECRET} x", f"secret token api_key -> {SECRET}", f"my password is the token {SECRET}"])
+def test_one_span_a_secret(text):
+    """One maximal span, without the sensitive word, however many such words stand before it."""
+    base, added = secretscan.find_secrets(text)
+    at = text.index(SECRET)
+    spans = [s for s in added if not any(b <= s[1] and s[2] <= e for _, b, e in base)]
+    assert spans == ([] if base else [("novel", at, at + len(SECRET))])
+
+
+def test_added_spans_do_not_overlap():
+    rng = random.Random(3)
+    parts = ["token", "secret", " ", "=", "\n", "abcDEF123456ghiJKL789", "-", "password", "Zk3vQ9xT7LmW2pR8"]
+    for _ in range(300):
+        _, added = secretscan.find_secrets("".join(rng.choice(parts) for _ in range(30)))
+        added.sort(key=lambda s: s[1])
+        assert all(a[2] <= b[1] for a, b in zip(added, added[1:], strict=False))
+
+
+def test_sensitive_words_in_long_texts():
+    """A megabyte of sensitive words, glued or apart, is scanned in linear time."""
+    import time
+
+    for unit in ("token", "secret ", "token1", f"token {SECRET}\n", "key=a1B2 "):
+        took = []
+        for size in (250_000, 1_000_000):
+            text = unit * (size // len(unit))
+            began = time.perf_counter()
+            secretscan.find_secrets(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * max(took[0], 0.05), (unit, took)
+
+
 def test_novel_secrets():
     text = "# client settings\nbearer credential -> Zk3vQ9xT7LmW2pR8sY5uB1nC4\nbearer credential -> configuration_settings_default1\n"
     base, added = secretscan.find_secrets(text)
