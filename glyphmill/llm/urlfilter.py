@@ -1,7 +1,8 @@
 """URL filter: a blocked Bloom filter of listed entries, then an exact hash join of the possible hits.
 
 A list entry is (host, path, verdict). It fits its host and all subdomains of it, if the url's path starts with the entry's
-path; the longest entry wins. A url therefore has one key for each suffix of its host and each listed path length.
+path; the longest entry wins. A url therefore has one key for each listed number of host labels and each listed path length, however many
+labels its host has.
 The keys are hashed once; the filter's blocks are 256 bits, all bits of a key lie in one block. Keys that pass go to a join on
 the key itself, which removes the filter's false positives. A url without an entry gets the default verdict.
 
@@ -26,11 +27,10 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 MAX_BLOCKS = 1 << 19
 BROADCAST_ROWS = 100_000
 SALTS = 16
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: F.Column) -> F.Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), common.UPPER, common.LOWER)
 
 
 def path_of(url: F.Column) -> F.Column:
@@ -57,18 +57,21 @@ def build_filter(keys: DataFrame, blocks: int) -> np.ndarray:
 def judge(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, a row for each row of pages. entries: host, path, verdict."""
     spark = pages.sparkSession
-    entries = entries.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
-    entries = entries.groupBy(F.concat("host", "path").alias("key")).agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict", F.length("path").alias("len"))).alias("e")).select("key", F.col("e.verdict").alias("listed"), F.col("e.len").alias("len"))
+    entries = entries.select(F.translate("host", common.UPPER, common.LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
+    entries = entries.groupBy(F.concat("host", "path").alias("key")).agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict", F.length("path").alias("len"), (F.regexp_count("host", F.lit(r"\.")) + 1).alias("labels"))).alias("e"))
+    entries = entries.select("key", F.col("e.verdict").alias("listed"), F.col("e.len").alias("len"), F.col("e.labels").alias("labels"))
     entries = common.written(entries, "url-list")
     count = entries.count()
     blocks = min(MAX_BLOCKS, max(1, 1 << (count // 16).bit_length()))
     held = spark.sparkContext.broadcast(build_filter(entries, blocks).tobytes())
-    lengths = sorted(r[0] for r in entries.select("len").distinct().collect())  # lengths of paths, not paths
+    # lengths of paths and numbers of labels, not paths and hosts
+    lengths = sorted(r[0] for r in entries.select("len").distinct().collect())
+    labels = sorted(r[0] for r in entries.select("labels").distinct().collect())
 
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    # with fewer labels than n it is the whole host, which is a key of its own length too
+    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]).cast("array<string>")))
     fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fits, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
     base = base.withColumn("keys", keys)

@@ -1,3 +1,4 @@
+from glyphmill.llm import common as K
 from glyphmill.llm import urlfilter as U
 
 
@@ -6,7 +7,7 @@ def brute(url, rules):
     if url and "://" in url:
         rest = url.split("://", 1)[1]
         cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
-        host = rest[:cut].translate(str.maketrans(U.UPPER, U.LOWER))
+        host = rest[:cut].translate(str.maketrans(K.UPPER, K.LOWER))
         path = rest[cut:]
         path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
@@ -32,6 +33,12 @@ def test_rules(spark):
     check(spark, U.RULES)
 
 
+def test_hosts_of_many_labels(spark):
+    """A host costs what the list has, not what it has itself."""
+    long = "a." * 100_000
+    check(spark, [*U.RULES, ("x.y.example.org", "/p", "block")], [f"http://{long}example.org/fr/x", f"http://{long}x.y.example.org/p1", f"http://{long}com/de/", "http://y.example.org/p", "http://.org/fr/", "http://org./fr/"])
+
+
 def test_shuffled_join(spark):
     check(spark, U.RULES, broadcast_rows=0)
 
