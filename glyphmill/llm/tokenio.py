@@ -8,7 +8,8 @@ Documents are dealt by range of (id, hash of the text), so one id that many rows
 behind whole documents when it is full; a task holds one segment at a time. The place of a document in the stream of all ids comes from
 the sums of segments: a running sum within each shard, and one over the shards' sums, a row a shard.
 
-Tokens: parts of a text that surely begin a new pre-token are encoded once by the tokenizers library and memoised.
+Tokens: parts of a text that surely begin a new pre-token are encoded once by the tokenizers library and memoised. The library's own rule
+holds for special tokens whose strings stand in a text: they are encoded as those tokens. Such a text goes to the library whole.
 
 Edge cases. Null and empty texts: the end id alone. Long texts: one segment. Repeated rows: each is written. Null ids: first.
 Empty table: no files' rows, empty result.
@@ -106,7 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.own.get_added_tokens_decoder().values())
         self.merge = self.own.model.tokenize
         self.find = regex.compile(own_pattern(pattern)).findall
         self.mapped = str.maketrans({chr(b): c for b, c in byte_characters().items()})
@@ -126,7 +127,7 @@ class Encoder:
         upto = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             if text:
-                keys += keys_of(text)
+                keys += [BARE + text] if self.holds_special(text) else keys_of(text)
             upto[i + 1] = len(keys)
         number = self.number
         at = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
@@ -144,11 +145,14 @@ class Encoder:
         out = self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)]
         return out, np.diff(ends[upto])
 
+    def holds_special(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
     def part(self, key: str) -> list[int]:
         text = key[1:] if key[0] == BARE else " " + key
         if not text:
             return []
-        if max(text) > self.PLAIN_UPTO:
+        if max(text) > self.PLAIN_UPTO or self.holds_special(text):
             return self.own.encode(text, add_special_tokens=False).ids
         if key.isalpha():
             return self._piece(text)

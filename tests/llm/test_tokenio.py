@@ -38,7 +38,7 @@ def test_damage_is_found(part):
 def test_files(spark, docs):
     hf = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(0)
-    texts = {i: " ".join(rng.choice(["the", "word", "of", "zq\n", "é"], rng.integers(0, 300))) for i in range(300)} | {77: None, 78: "", 79: "x " * 50_000}
+    texts = {i: " ".join(rng.choice(["the", "word", "of", "zq\n", "é"], rng.integers(0, 300))) for i in range(300)} | {77: None, 78: "", 79: "x " * 50_000, 80: "<|endoftext|>", 81: "a word<|endoftext|> more é<|endoftext|>\n<|endoftext", 82: "plain <|endoftext|>"}
     d = docs([(i, t) for i, t in texts.items()]).repartition(7)
     folder = common.scratch_path(spark, "test-tokens")
     tokenio.write_ids(d, folder, P.path("byte_bpe_50k.json"), P.PATTERN, segment_ids=5000)
