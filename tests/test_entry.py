@@ -23,10 +23,15 @@ def test_nothing_outside_imports_llm():
             assert "glyphmill.llm" not in f.read_text() and ".llm" not in f.read_text(), f
 
 
-def test_entry_without_llm(tmp_path):
-    """The rest imports where the subpackage and the pipeline are deleted."""
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_entry_without_llm(tmp_path, with_pipeline):
+    """The rest imports where the subpackage is deleted, with the pipeline's file or without."""
     import shutil
 
+    if with_pipeline:
+        if not (ROOT / "corpus_pipeline.py").exists():
+            pytest.skip("deleted")
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     shutil.copytree(ROOT / "glyphmill", tmp_path / "glyphmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONDONTWRITEBYTECODE": "1"})
