@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -228,14 +227,16 @@ def learned(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Lexicon]
     """A lexicon without each fold, and last one of all rows. sizes: rows by (fold, label)."""
 
     def count(batches):
-        pos: dict[str, Counter] = {}
+        at: dict[str, int] = {}
+        counts = np.zeros((1 << 12, 2 * FOLDS), np.int32)
         for batch in batches:
             for text, y, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for key in keys_of(text.as_py()):
-                    pos.setdefault(key, Counter())[2 * fold + y] += 1
+                own = [at.setdefault(key, len(at)) for key in keys_of(text.as_py())]
+                if len(at) > len(counts):
+                    counts = np.concatenate([counts, np.zeros((max(len(counts), len(at) - len(counts)), 2 * FOLDS), np.int32)])
+                counts[own, 2 * fold + y] += 1
         # negatives of a key that no toxic row here has are still needed where another task has one
-        keys = list(pos)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([pos[k][c] for k in keys], pa.int32()) for c in range(2 * FOLDS))], ["key", *(f"c{c}" for c in range(2 * FOLDS))])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), *(pa.array(counts[: len(at), c]) for c in range(2 * FOLDS))], ["key", *(f"c{c}" for c in range(2 * FOLDS))])
 
     schema = "key string, " + ", ".join(f"c{c} int" for c in range(2 * FOLDS))
     sums = common.map_partitions(rows, count, schema).groupBy("key").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(2 * FOLDS)))
