@@ -42,16 +42,19 @@ def route_absolute(components: DataFrame, page_w: int = 1000, page_h: int = 1000
 
 
 def weighted_median(rows: DataFrame, key: str = "page", quantile: float = 0.95) -> DataFrame:
-    """key, median: the height at which half of the ink, capped at a quantile of areas, is reached. A row a key."""
-    by_area = W.partitionBy(key).orderBy("pixel_area")
-    n = F.count("*").over(W.partitionBy(key))
-    ranked = rows.select(key, "h", "pixel_area", (F.row_number().over(by_area) - 1).alias("i"), n.alias("n"))
-    cap = F.max(F.when(F.col("i") == F.floor(F.lit(quantile) * (F.col("n") - 1)), F.col("pixel_area"))).over(W.partitionBy(key))
-    inked = ranked.select(key, "h", F.least("pixel_area", F.greatest(F.lit(1), cap)).alias("ink"))
-    heights = inked.groupBy(key, "h").agg(F.sum("ink").alias("ink"))
-    upto = F.sum("ink").over(W.partitionBy(key).orderBy("h"))
-    total = F.sum("ink").over(W.partitionBy(key))
-    return heights.select(key, "h", (upto * 2 >= total).alias("half")).where("half").groupBy(key).agg(F.min("h").alias("median"))
+    """key, median: the height at which half of the ink, capped at a quantile of areas, is reached. A row a key.
+
+    Rows are counted by (key, height, area) first, so the windows run over a page's distinct values and not over its components.
+    """
+    page = W.partitionBy(key)
+    counted = rows.groupBy(key, "h", "pixel_area").agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(page.orderBy("pixel_area")), F.sum("n").over(page)  # a running sum takes equal areas together
+    place = F.floor(F.lit(quantile) * (total - 1))
+    counted = counted.withColumn("inside", F.when(upto > place, F.col("pixel_area")))
+    cap = F.greatest(F.lit(1), F.min("inside").over(page))
+    heights = counted.withColumn("ink", F.col("n") * F.least("pixel_area", cap)).groupBy(key, "h").agg(F.sum("ink").alias("ink"))
+    half = F.sum("ink").over(page.orderBy("h")) * 2 >= F.sum("ink").over(page)
+    return heights.select(key, "h", half.alias("half")).where("half").groupBy(key).agg(F.min("h").alias("median"))
 
 
 def with_parent(small: DataFrame, parents: DataFrame, s: Route) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 COLUMNS, PITCH_X, PITCH_Y, MARGIN = 60, 14, 30, 20
+ORDERS_A_PAGE = 40
 SPACE = (" ", "\n", "\t", "\r")
 SMALL = list(".,;:!?'\"-")
 
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, id, x, y, w, h, pixel_area, fill_ratio."""
+    """page, id, x, y, w, h, pixel_area, fill_ratio. Pages hold some 160 boxes each, so their number grows with the table."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     # up to which r, then width, height and fill in percent, each as a base and a modulus of a key
     classes = [
@@ -33,7 +34,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").withColumn("r", (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + part) % 100)
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     sized = line.select(
-        (F.col("l_orderkey") % 40).cast("int").alias("page"), *keys, ((part * 13 + F.col("l_linenumber") * 17) % 900).cast("int").alias("x"), ((F.col("l_orderkey") * 11 + supp * 29) % 900).cast("int").alias("y"),
+        F.floor(F.col("l_orderkey") / ORDERS_A_PAGE).cast("int").alias("page"), *keys, ((part * 13 + F.col("l_linenumber") * 17) % 900).cast("int").alias("x"), ((F.col("l_orderkey") * 11 + supp * 29) % 900).cast("int").alias("y"),
         pick(0, part).alias("w"), pick(1, supp).alias("h"), pick(2, part).alias("pct"),
     )
     out = sized.withColumn("id", F.row_number().over(W.partitionBy("page").orderBy(*keys))).drop(*keys)
@@ -116,8 +117,14 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("document"), F.get_json_object("props", "$.k").cast("int").alias("repeat"), F.col("event_type").alias("stage"), F.col("value").cast("double").alias("ms"))
 
 
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, w, v: 8 x 8 rasters, an array an image."""
+    gray = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + F.lit(200) * e.cast("double")))).cast("int")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.lit(8).alias("w"), F.transform("embedding", gray).alias("v"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, y, x, v of 8 x 8 rasters."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "e"))
-    v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + F.lit(200) * F.col("e").cast("double")))).cast("int")
-    return e.select("image", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), v.alias("v"))
+    from ..operators.raster import as_pixels
+
+    return as_pixels(rasters(spark, sf_dir))
