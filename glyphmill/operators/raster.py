@@ -60,22 +60,41 @@ def run_pages(images: DataFrame, s: Settings = Settings()) -> DataFrame:
     return routed.select(F.col("page").alias("sample_id"), "id", *cols, (F.col("cx") * back).alias("cx"), (F.col("cy") * back).alias("cy"), "pixel_area", "fill_ratio", "kind", "reason", "scale", "polarity_inverted", "recovered")
 
 
-def per_image(pixels: DataFrame, f: Callable[[int, np.ndarray], list[tuple]], schema: str, names: list[str], key: str = "image") -> DataFrame:
-    """Apply a kernel to each raster of (key, y, x, v): one array a raster is packed by an aggregation, then batches of rasters go to Python."""
-    packed = pixels.groupBy(key).agg((F.max("x") + 1).alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("v"))
+def per_image(rasters: DataFrame, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Rows that a kernel makes of each raster of (image, w, v array): image and the columns of schema."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [_TYPES[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for k, w, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in f(k, np.array(v, np.uint8).reshape(-1, w))]
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in schema.split(", "))]))
+            keys, cols = [], [[] for _ in names]
+            for key, a in arrays(batch):
+                for row in f(a):
+                    keys.append(key)
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["image", *names])
 
-    return packed.mapInArrow(run, schema)
+    return rasters.select(F.col("image").cast("long"), "w", "v").mapInArrow(run, f"image long, {schema}")
+
+
+def arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Each raster of a batch (image, w, v) as a view of the batch's one buffer of pixels."""
+    flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+    ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+    for key, w, start, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+        yield key, flat[start:end].reshape(-1, w)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
+def as_pixels(rasters: DataFrame) -> DataFrame:
+    """image, y, x, v: a row a pixel."""
+    rows = rasters.select("image", "w", F.posexplode("v").alias("i", "v"))
+    return rows.select("image", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), "v")
+
+
 def otsu_thresholds(pixels: DataFrame) -> DataFrame:
     """image, threshold, dark_fraction: by running sums over an image's distinct values; of equal splits the lowest value."""
     hist = pixels.groupBy("image", "v").agg(F.count("*").alias("c"))
@@ -100,32 +119,63 @@ def otsu_binary(pixels: DataFrame) -> DataFrame:
 
 
 def connected_components(binary: DataFrame, connectivity: int = 8) -> DataFrame:
-    """image, x, y, w, h, pixel_area of every component."""
-    return per_image(binary, lambda k, a: [(k, *c[1:6]) for c in kernels.components(a, connectivity)], "image long, x int, y int, w int, h int, pixel_area int", ["image", "x", "y", "w", "h", "pixel_area"])
-
-
-def mapped(pixels: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """image, y, x, v behind a kernel that keeps the shape."""
-    def rows(k: int, a: np.ndarray) -> list[tuple]:
-        return [(k, y, x, int(v)) for (y, x), v in np.ndenumerate(f(a))]
-
-    return per_image(pixels, rows, "image long, y int, x int, v int", ["image", "y", "x", "v"])
-
-
-def sauvola_sql(pixels: DataFrame, window: int = 3, k: float = 0.2) -> DataFrame:
-    """The Sauvola threshold as a join of each pixel with its window, the border repeated; for small rasters."""
-    r = window // 2
-    size = pixels.groupBy("image").agg(F.max("x").alias("mx"), F.max("y").alias("my")).withColumnRenamed("image", "_i")
-    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda dy: F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda dx: F.struct(dy.alias("dy"), dx.alias("dx"))))))
-    p = pixels.join(size, F.col("image") == F.col("_i")).withColumn("d", around)
-    clip = lambda c, m: F.least(F.greatest(c, F.lit(0)), m)
-    p = p.select("image", "y", "x", "v", clip(F.col("y") + F.col("d.dy"), F.col("my")).alias("ny"), clip(F.col("x") + F.col("d.dx"), F.col("mx")).alias("nx"))
-    q = pixels.select(F.col("image").alias("_i"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("nv"))
-    stats = p.join(q, (F.col("image") == F.col("_i")) & (F.col("ny") == F.col("_y")) & (F.col("nx") == F.col("_x"))).groupBy("image", "y", "x", "v").agg(F.sum("nv").alias("s"), F.sum(F.col("nv") * F.col("nv")).alias("ss"))
-    n = float(window * window)
-    mean = F.col("s") / n
-    std = F.sqrt(F.greatest(F.col("ss") / n - mean * mean, F.lit(0.0)))
-    return stats.select("image", "y", "x", F.when(F.col("v") < mean * (1 + k * (std / 128 - 1)), 255).otherwise(0).alias("v"))
+    """image, x, y, w, h, pixel_area of every component of rasters."""
+    return per_image(binary, lambda a: [c[1:6] for c in kernels.components(a, connectivity)], "x int, y int, w int, h int, pixel_area int")
+
+
+def label_maps(binary: DataFrame, connectivity: int = 8) -> DataFrame:
+    """Rasters of labels: 0 for ground, then 1.. in order of the components' first pixels."""
+    return mapped(binary, lambda a: kernels.labels(a, connectivity)[0])
+
+
+def mapped(rasters: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rasters (image, w, v) behind a kernel: an array an image on both sides. The shape may change."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [f(a) for _, a in arrays(batch)]
+            ends = np.cumsum([0, *(m.size for m in made)])
+            flat = np.concatenate([np.zeros(0, np.int32), *(m.ravel() for m in made)]).astype(np.int32)
+            cols = [batch.column(0), pa.array([m.shape[1] for m in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, ["image", "w", "v"])
+
+    return rasters.select(F.col("image").cast("long"), "w", "v").mapInArrow(run, "image long, w int, v array<int>")
+
+
+def run_timed(images: DataFrame, s: Settings = Settings(), repeats: int = 3, warmup: int = 1) -> DataFrame:
+    """document, repeat, stage, ms: each image goes through the kernels repeats times, behind warmup runs that don't count.
+
+    Routing runs as a plan over all pages and has no time of a page. Relations of one run must not be compared across clusters of unlike machines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
+                a = a[..., 0] if r["n_channels"] == 1 else a
+                for k in range(-warmup, max(1, repeats)):
+                    took = kernels.traced_page(a, s)[3]
+                    rows += [(r["sample_id"], k, stage, ms) for stage, ms in took.items() if k >= 0]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True)], ["document", "repeat", "stage", "ms"])
+
+    return images.select("sample_id", "height", "width", "n_channels", "data").mapInArrow(run, "document string, repeat int, stage string, ms double")
+
+
+def debug_images(images: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """sample_id, stage (gray or binary), height, width, n_channels, data: what the kernels saw, in the processing frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
+                seen = kernels.traced_page(a[..., 0] if r["n_channels"] == 1 else a, s)[2]
+                cols = [[r["sample_id"]] * 2, list(seen), *([v.shape[k] for v in seen.values()] for k in (0, 1)), [1, 1], [v.tobytes() for v in seen.values()]]
+                types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["sample_id", "stage", "height", "width", "n_channels", "data"])
+
+    return images.select("sample_id", "height", "width", "n_channels", "data").mapInArrow(run, "sample_id string, stage string, height int, width int, n_channels int, data binary")
 
 
 def page_results(routed: DataFrame) -> DataFrame:
