@@ -146,3 +146,8 @@ def homography_box(a: Box, m: list[Column], width: Column, height: Column) -> Co
     r = lambda c: F.bround(c).cast("int")
     left = cw * ch >= F.lit(0.4) * F.greatest(F.lit(1.0), (x1 - x0) * (y1 - y0))
     return F.when((cw >= 1) & (ch >= 1) & left, F.struct(r(cx0).alias("x"), r(cy0).alias("y"), r(cw).alias("w"), r(ch).alias("h")))
+
+
+def effective_dpi(dpi: Column, scale: Column) -> Column:
+    """Resolution of a page that was scaled after rendering."""
+    return F.bround(dpi * scale).cast("int")

@@ -87,3 +87,35 @@ def flatten_text(lines: Column) -> Column:
     """Texts of an array of structs that have one, a line each."""
     texts = F.transform(lines, lambda b: b["text"])
     return F.array_join(F.filter(texts, lambda t: F.length(F.trim(F.coalesce(t, F.lit("")))) > 0), "\n")
+
+
+#: Invented field values.
+FAMILY = ("ALDER", "BROOK", "CLAY", "DUNE", "ELM", "FERN", "GLEN", "HEATH", "IVES", "LARK", "MOSS", "NASH")
+GIVEN = ("ANNA", "BEN", "CARA", "DAVID", "EVA", "FINN", "GRETA", "HUGO", "INES", "JONAS")
+STREETS = ("NORTH ROAD", "HARBOUR STREET", "MILL LANE", "STATION AVENUE", "GARDEN WALK", "HILL RISE 3")
+
+
+def pick(k: Column, values: tuple[str, ...]) -> Column:
+    """The value at k, starting anew behind the last; k is 0 or more."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+def person_name(k: Column) -> Column:
+    """Family and given name of number k; all combinations occur."""
+    return F.concat(pick(k, FAMILY), F.lit(" "), pick(F.floor(k / len(FAMILY)), GIVEN))
+
+
+def address(k: Column) -> Column:
+    """Three lines: block and street, unit, town and a postal code of six digits."""
+    unit = F.format_string("#%02d-%03d", (1 + k % 24).cast("int"), (1 + k * 7 % 399).cast("int"))
+    return F.array(F.concat(F.lit("BLK "), (1 + k * 3 % 899).cast("string"), F.lit(" "), pick(k, STREETS)), unit, F.concat(F.lit("SINGAPORE "), (100000 + k * 7919 % 729999).cast("string")))
+
+
+def birth_date(k: Column) -> Column:
+    """A day of the 55 years from 1950 on."""
+    return F.date_add(F.lit("1950-01-01").cast("date"), (k % (365 * 55)).cast("int"))
+
+
+def recent_date(k: Column) -> Column:
+    """One of 300 days from the start of 2026 on."""
+    return F.date_add(F.lit("2026-01-01").cast("date"), (k % 300).cast("int"))

@@ -206,9 +206,21 @@ def image_by_stem(annotations: DataFrame, images: DataFrame, extensions: tuple[s
     return annotations.join(i, F.col("stem") == F.col("_stem")).groupBy("stem").agg(F.min_by("path", F.struct("rank", "path")).alias("image"))
 
 
+def path_parts(path: Column) -> list[Column]:
+    """stem, parent and capture of a path: a photo where the path says so in either case, else a scan."""
+    return [
+        F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("stem"), F.regexp_extract(path, r"([^/]+)/[^/]*$", 1).alias("parent"),
+        F.when(F.contains(F.lower(path), F.lit("photo")), "photo").otherwise("scan").alias("capture"),
+    ]
+
+
 def apply_reviews(samples: DataFrame, proposals: DataFrame, source: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Samples with reviewed words in place of their own, and proposals that match no sample. Proposals without words change nothing."""
-    p = proposals.select(F.col("sample_id").alias("_id"), F.filter(F.transform("words", lambda w: gt_box(w["bbox"], w["text"])), lambda g: ~blank(g["text"])).alias("_words"), "bootstrapped_with")
+    """Samples with reviewed words in place of their own, and proposals that match no sample. Proposals without words change nothing.
+
+    Of several proposals for one sample the one with the most words counts, of those the one whose form sorts last.
+    """
+    one = proposals.groupBy("sample_id").agg(F.max_by(F.struct("words", "bootstrapped_with"), F.struct(F.size("words"), F.to_json(F.struct("words", "bootstrapped_with")))).alias("best")).select("sample_id", "best.*")
+    p = one.select(F.col("sample_id").alias("_id"), F.filter(F.transform("words", lambda w: gt_box(w["bbox"], w["text"])), lambda g: ~blank(g["text"])).alias("_words"), "bootstrapped_with")
     unmatched = p.join(samples.select("sample_id"), F.col("_id") == F.col("sample_id"), "left_anti").select(F.col("_id").alias("sample_id"))
     use = F.coalesce(F.size("_words") > 0, F.lit(False)) & (F.lit(True) if source is None else F.col("source") == source)
     d = samples.join(p, F.col("sample_id") == F.col("_id"), "left").withColumn("_use", use)

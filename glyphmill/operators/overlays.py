@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lettering import letters
 from ..sources.store import png
 from .routing import KINDS
 
@@ -32,6 +33,34 @@ def draw(image: np.ndarray, boxes: list[tuple[int, int, int, int, str]], kinds:
     return out
 
 
+def write(image: np.ndarray, x: int, y: int, text: str, ink: tuple[int, int, int], size: int = 2) -> None:
+    """Write into an image of three channels; what leaves it is cut."""
+    dots = letters(text, size)
+    y, x = max(y, 0), max(x, 0)
+    part = image[y : y + dots.shape[0], x : x + dots.shape[1]]
+    part[dots[: part.shape[0], : part.shape[1]]] = ink
+
+
+def legend(image: np.ndarray, boxes: list[tuple[int, int, int, int, str]], more: tuple[str, ...] = ()) -> np.ndarray:
+    """A light panel in the corner with the count of each kind, of all, and further lines."""
+    kinds = [b[4] for b in boxes]
+    lines = [(f"{k}: {kinds.count(k)}", COLOURS[k]) for k in KINDS] + [(t, (30, 30, 30)) for t in (f"total: {len(boxes)}", *more)]
+    out, pitch = colour(image), 14
+    panel = out[: 8 + pitch * len(lines), :150]
+    panel[:] = np.rint(0.22 * panel + 0.78 * 255).astype(np.uint8)
+    for k, (text, ink) in enumerate(lines):
+        write(out, 5, 5 + pitch * k, text, ink)
+    return out
+
+
+def reasons(image: np.ndarray, boxes: list[tuple[int, int, int, int, str, str]]) -> np.ndarray:
+    """Why each box was routed, above it."""
+    out = colour(image)
+    for x, y, _, _, kind, reason in boxes:
+        write(out, x, max(0, y - 6), reason or "", COLOURS[kind], 1)
+    return out
+
+
 def binary_preview(binary: np.ndarray) -> np.ndarray:
     """Ink black on white."""
     return 255 - binary
@@ -48,10 +77,13 @@ def side_by_side(*images: np.ndarray, gap: int = 8) -> np.ndarray:
     return out
 
 
-def overlays(images: DataFrame, components: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """sample_id, png of every image (sample_id, height, width, n_channels, data) with its components (sample_id, x, y, w, h, kind)."""
-    wanted = components.where(F.col("kind").isin(*kinds))
-    boxes = wanted.groupBy("sample_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "kind")).alias("boxes")).withColumnRenamed("sample_id", "_id")
+def overlays(images: DataFrame, components: DataFrame, kinds: tuple[str, ...] = KINDS, with_legend: bool = False, with_reasons: bool = False) -> DataFrame:
+    """sample_id, png of every image (sample_id, height, width, n_channels, data) with its components (sample_id, x, y, w, h, kind, with_reasons: reason).
+
+    The legend counts all kinds, also those that aren't drawn.
+    """
+    reason = F.col("reason") if with_reasons else F.lit("")
+    boxes = components.groupBy("sample_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "kind", reason.alias("reason"))).alias("boxes")).withColumnRenamed("sample_id", "_id")
     joined = images.join(boxes, F.col("sample_id") == F.col("_id"), "left").select("sample_id", "height", "width", "n_channels", "data", "boxes")
 
     def run(batches):
@@ -59,13 +91,23 @@ def overlays(images: DataFrame, components: DataFrame, kinds: tuple[str, ...] =
             made = []
             for r in batch.to_pylist():
                 a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
-                out = draw(a[..., 0] if r["n_channels"] == 1 else a, [tuple(b.values()) for b in r["boxes"] or []], kinds)
+                found = [tuple(b.values()) for b in r["boxes"] or []]
+                out = draw(a[..., 0] if r["n_channels"] == 1 else a, [b[:5] for b in found], kinds)
+                if with_reasons:
+                    out = reasons(out, [b for b in found if b[4] in kinds])
+                if with_legend:
+                    out = legend(out, [b[:5] for b in found])
                 made.append(png(out.tobytes(), *out.shape))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["sample_id", "png"])
 
     return joined.mapInArrow(run, "sample_id string, png binary")
 
 
+def drawn(components: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    return components.where(F.col("kind").isin(*kinds))
+
+
 def sampled(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n samples by a hash of their id, in order; the same for the same seed."""
-    return samples.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(n).orderBy("sample_id")
+    """n samples spread over all by a hash of their id, in order; the same for the same seed."""
+    draw = F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return samples.orderBy(draw, "sample_id").limit(n).orderBy("sample_id")

@@ -121,16 +121,52 @@ def markdown_table(headers: list[str], rows: list[list[object]]) -> str:
     return "\n".join([*lines, *("| " + " | ".join(str(v) for v in row) + " |" for row in rows)])
 
 
-def markdown_report(chars: DataFrame, words: DataFrame, latency: DataFrame, routing: DataFrame) -> str:
-    """The whole report; its inputs are small aggregates."""
+def percent(rate: Column) -> Column:
+    """As pct, for columns: one decimal, rounded half to even."""
+    return F.when(rate.isNull(), "n/a").otherwise(F.format_string("%.1f%%", F.bround(100 * rate, 1)))
+
+
+def tallies(samples: DataFrame) -> DataFrame:
+    """tally (all, template, capture or source), value, n, with_chars of samples (template, capture, source, has_chars) in one pass."""
+    keys = ("template", "capture", "source")
+    out = samples.groupingSets([[], *([k] for k in keys)], *keys).agg(F.count("*").alias("n"), F.count_if("has_chars").alias("with_chars"), *(F.grouping(k).alias(f"_{k}") for k in keys))
+    name, value = F.lit("all"), F.lit("all")
+    for k in keys:
+        name, value = F.when(F.col(f"_{k}") == 0, k).otherwise(name), F.when(F.col(f"_{k}") == 0, F.col(k)).otherwise(value)
+    return out.select(name.alias("tally"), value.alias("value"), "n", "with_chars")
+
+
+def headline(chars: DataFrame, words: DataFrame, latency: DataFrame) -> list[tuple[str, str]]:
+    """Label and text of the whole run's figures, from char_slices, word_slices and latency_summary."""
+    c, w = chars.where("slice_key = 'all'").first(), words.where("slice_key = 'all'").first()
+    t = latency.where("stage = 'total'").first()
+    get = lambda row, name: None if row is None else row[name]
+    labels = {"isolation_recall": "character isolation recall", "over_segmentation_rate": "over-segmentation rate", "merge_rate": "merge rate", "miss_rate": "miss rate", "junk_rate": "junk rate of survivors", "small_retention": "small-mark retention"}
+    unit = get(w, "granularity") or "none"
+    rows = [(label, pct(get(c, name))) for name, label in labels.items()]
+    rows += [(f"region hit rate ({unit})", pct(get(w, "hit_rate"))), (f"region coverage ({unit})", pct(get(w, "mean_coverage")))]
+    return [*rows, ("end to end P50 / P95 / P99 ms", " / ".join("n/a" if t is None else f"{t[p]:.1f}" for p in ("p50", "p95", "p99")))]
+
+
+def latency_rows(latency: DataFrame) -> str:
+    rows = latency.orderBy("last", "stage").collect()
+    return markdown_table(["stage", "P50 ms", "P95 ms", "P99 ms", "max ms", "mean ms", "documents"], [[r.stage, r.p50, r.p95, r.p99, r.max, r["mean"], r.n] for r in rows])
+
+
+def markdown_report(chars: DataFrame, words: DataFrame, latency: DataFrame, routing: DataFrame, by_capture: dict[str, DataFrame] | None = None, about: dict[str, object] | None = None) -> str:
+    """The whole report; its inputs are small aggregates. by_capture: latency of each capture mode. about: facts of the run for its head."""
     parts = ["# Benchmark report"]
+    if about:
+        parts.append("\n".join(f"- {k}: {v}" for k, v in about.items()))
+    parts += ["## Headline", markdown_table(["metric", "value"], [list(r) for r in headline(chars, words, latency)])]
     names = list(char_rates())
     rows = chars.orderBy("slice_key", "slice").collect()
-    parts.append(markdown_table(["key", "slice", "samples", "GT chars", *names], [[r.slice_key, r.slice, r.samples, r.n_gt, *(pct(r[n]) for n in names)] for r in rows]))
+    parts += ["## Characters", markdown_table(["key", "slice", "samples", "GT chars", *names], [[r.slice_key, r.slice, r.samples, r.n_gt, *(pct(r[n]) for n in names)] for r in rows])]
     names = list(word_rates())
     rows = words.orderBy("slice_key", "slice").collect()
-    parts.append(markdown_table(["key", "slice", "samples", "unit", "GT regions", *names], [[r.slice_key, r.slice, r.samples, r.granularity, r.n_gt, *(pct(r[n]) for n in names)] for r in rows]))
-    rows = latency.orderBy("last", "stage").collect()
-    parts.append(markdown_table(["stage", "P50 ms", "P95 ms", "P99 ms", "max ms", "mean ms"], [[r.stage, r.p50, r.p95, r.p99, r.max, r["mean"]] for r in rows]))
-    parts.append(markdown_table(["capture", *KINDS], [[r.capture, *(r[k] for k in KINDS)] for r in routing.orderBy("capture").collect()]))
+    parts += ["## Regions", markdown_table(["key", "slice", "samples", "unit", "GT regions", *names], [[r.slice_key, r.slice, r.samples, r.granularity, r.n_gt, *(pct(r[n]) for n in names)] for r in rows])]
+    parts += ["## Latency by stage", latency_rows(latency)]
+    for name, d in sorted((by_capture or {}).items()):
+        parts += [f"### Latency: {name}", latency_rows(d)]
+    parts += ["## Component routing", markdown_table(["capture", *KINDS], [[r.capture, *(r[k] for k in KINDS)] for r in routing.orderBy("capture").collect()])]
     return "\n\n".join(parts) + "\n"

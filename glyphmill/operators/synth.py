@@ -38,15 +38,22 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 
 def available(strata: list[tuple], blocked_scripts: set[str]) -> list[tuple]:
-    """Strata whose script can be drawn; templates that aren't plain text always stay."""
-    return [s for s in strata if not s[0].startswith("plain_") or s[0].removeprefix("plain_") not in blocked_scripts]
+    """Strata whose script can be drawn; Latin text and templates that aren't plain text always stay."""
+    return [s for s in strata if not s[0].startswith("plain_") or s[0] == "plain_latin" or s[0].removeprefix("plain_") not in blocked_scripts]
 
 
-def plan(spark: SparkSession, count: int, seed: int, strata: list[tuple] = STRATA) -> DataFrame:
-    """i, sample_id, template, profile, capture, seed: the same for the same seed."""
+def script_sets(scripts: DataFrame, blocked: DataFrame) -> DataFrame:
+    """script, status: scripts that occur and can be drawn, and those that can't."""
+    s = scripts.distinct()
+    return s.exceptAll(blocked).withColumn("status", F.lit("available")).unionByName(s.intersect(blocked).withColumn("status", F.lit("blocked")))
+
+
+def plan(spark: SparkSession, count: int, seed: int, strata: list[tuple] = STRATA, blocked_scripts: set[str] = frozenset()) -> DataFrame:
+    """i, sample_id, template, profile, capture, seed: the same for the same seed. One generator draws a template, then a profile, for each sample in turn."""
+    usable = available(strata, set(blocked_scripts))
     rng, rows = random.Random(seed), []
     for i in range(count):
-        template, _, options = rng.choices(strata, weights=[s[1] for s in strata])[0]
+        template, _, options = rng.choices(usable, weights=[s[1] for s in usable])[0]
         rows.append((i, template, rng.choices(list(options), weights=list(options.values()))[0], seed * 100003 + i))
     d = spark.createDataFrame(rows, "i int, template string, profile string, seed long")
     return numbered(d).join(F.broadcast(profiles(spark).select("profile", "capture")), "profile")  # five profiles
@@ -80,3 +87,45 @@ def rotation_matrices(samples: DataFrame, width: int, height: int) -> DataFrame:
     c, n = F.cos(a), F.sin(a)
     rows = [c * s, n * s, (F.lit(cx) - c * cx - n * cy) * s, -n * s, c * s, (F.lit(cy) + n * cx - c * cy) * s, F.lit(0.0), F.lit(0.0), F.lit(1.0)]
     return samples.select("sample_id", *(m.alias(f"m{i}") for i, m in enumerate(rows)))
+
+
+#: Boxes of a page by what they annotate, in the order in which they go through the capture.
+PARTS = ("lines", "words", "chars", "pii", "regions_nontext")
+MADE = "sample_id string, source string, capture string, script string, dpi int, text string, template string, profile string, seed long, height int, width int, n_channels int, data binary, boxes array<struct<what:string,pos:int,text:string,type:string,x:int,y:int,w:int,h:int>>"
+
+
+def generate(planned: DataFrame) -> DataFrame:
+    """Pages of a plan: facts, pixels and the annotations whose boxes are still in the frame. A row depends on its own template, profile and seed alone.
+
+    Plain pages of other scripts carry Latin letters and say so in their script; other scripts' letters need fonts, which aren't here.
+    """
+    import pyarrow as pa
+
+    from ..functions import capture, pages
+
+    def run(batches):
+        schema = pa.schema([(n, t) for n, t in zip(("what", "pos", "text", "type", "x", "y", "w", "h"), (pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4), strict=True)])
+        box = pa.struct(list(schema))
+        for batch in batches:
+            for r in batch.to_pylist():
+                rng = random.Random(r["seed"])
+                page = pages.page(r["template"], rng)
+                image, boxes, scale = capture.degrade(page.image, [b[4:] for b in page.boxes], capture.Profile(r["profile"], *PROFILES[r["profile"]]), rng)
+                kept = [dict(zip(schema.names, (*b[:4], *moved), strict=True)) for b, moved in zip(page.boxes, boxes, strict=True) if moved is not None]
+                row = [r["sample_id"], "synth", r["capture"], "latin", round(pages.DPI * scale), page.text, r["template"], r["profile"], r["seed"], image.shape[0], image.shape[1], 1, image.tobytes(), kept]
+                types = [pa.string()] * 4 + [pa.int32()] + [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(box)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in MADE.split(", ")])
+
+    # a page is rendered in milliseconds to tenths of seconds: spread the plan, which comes from the driver in few partitions
+    spread = planned.repartition(planned.sparkSession.sparkContext.defaultParallelism, "seed")
+    return spread.select("sample_id", "template", "profile", "capture", "seed").mapInArrow(run, MADE)
+
+
+def as_samples(made: DataFrame) -> DataFrame:
+    """The nested schema of samples, of what generate gives."""
+    def of(what: str):
+        return F.transform(F.filter("boxes", lambda b: b["what"] == what), lambda b: F.struct(F.array(b["x"], b["y"], b["w"], b["h"]).alias("bbox"), b["text"].alias("text"), b["type"].alias("type")))
+
+    chars = F.transform(F.filter("boxes", lambda b: b["what"] == "chars"), lambda b: F.struct(F.array(b["x"], b["y"], b["w"], b["h"]).alias("bbox"), b["text"].alias("char")))
+    meta = F.create_map(F.lit("template"), F.col("template"), F.lit("profile"), F.col("profile"), F.lit("seed"), F.col("seed").cast("string"), F.lit("gt_complete"), F.lit("true"))
+    return made.select("sample_id", "source", "capture", "script", "dpi", "text", of("lines").alias("lines"), of("words").alias("words"), chars.alias("chars"), of("pii").alias("pii"), of("regions_nontext").alias("regions_nontext"), meta.alias("meta"))

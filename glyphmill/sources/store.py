@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
+import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +27,27 @@ def images(spark: SparkSession, *paths: str) -> DataFrame:
     return d.select(stem(F.col("origin")).alias("sample_id"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
 
 
+def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Paths that match the patterns, in order; a pattern that matches nothing counts as a plain path, and with none there either is a warning."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for pattern in patterns:
+        at = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = at.getFileSystem(conf)
+        found = sorted(str(x.getPath()) for x in fs.globStatus(at) or [])
+        if not found and any(c in pattern for c in "*?[{"):
+            literal = jvm.org.apache.hadoop.fs.Path(re.sub(r"([*?\[\]{}])", r"\\\1", pattern))
+            found = sorted(str(x.getPath()) for x in fs.globStatus(literal) or [])
+        if not found:
+            warnings.warn(f"no match for {pattern!r}", stacklevel=2)
+        out += found
+    return out
+
+
+def limited(samples: DataFrame, limit: int | None) -> DataFrame:
+    """The first samples in order of their ids."""
+    return samples if limit is None else samples.orderBy("sample_id").limit(limit)
+
+
 def stem(path) -> F.Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
@@ -62,32 +88,66 @@ class Store:
     def manifest(self) -> DataFrame:
         return A.manifest(self.read(), self.images())
 
+    def save_run(self, run_id: str, tables: dict[str, DataFrame], about: dict, report: str) -> str:
+        """Results of a run under results/<run_id>: a folder of JSON lines for each table, about.json and summary.md. Returns the folder."""
+        folder = f"{self.root}/results/{run_id}"
+        for name, d in tables.items():
+            d.write.mode("overwrite").json(f"{folder}/{name}")
+        self._put(f"{folder}/about.json", json.dumps(about, indent=1))
+        self._put(f"{folder}/summary.md", report)
+        return folder
+
+    def _put(self, path: str, text: str) -> None:
+        """A small file of the driver's, through the store's own file system."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).create(at, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def put_images(self, pictures: DataFrame, folder: str = "images") -> None:
+        """Write sample_id, png as files <folder>/<sample_id>.png: tasks write through the store's file system, a repeated task replaces its files."""
+        root = f"{self.root}/{folder}"
+        local = root.removeprefix("file://") if root.startswith("file:") or "://" not in root else None
+        if local is None:
+            raise ValueError("pictures are written to a folder that all machines mount")
+        os.makedirs(local, exist_ok=True)
+
+        def save(rows) -> None:
+            for r in rows:
+                part = f"{local}/.{r.sample_id}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(bytes(r.png))
+                os.replace(part, f"{local}/{r.sample_id}.png")
+
+        pictures.foreachPartition(save)
+
     def write_manifest(self) -> None:
         self.manifest().coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest")
 
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    return A.validated(A.from_receipts(spark.read.schema(schemas.RECEIPT).json(path)))
+def read_receipts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    return limited(A.validated(A.from_receipts(spark.read.schema(schemas.RECEIPT).json(path))), limit)
 
 
-def read_forms(spark: SparkSession, path: str) -> DataFrame:
+def read_forms(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     raw = spark.read.schema(schemas.FORM).option("multiLine", True).json(path).withColumn("stem", stem(F.input_file_name()))
-    return A.validated(A.from_forms(raw))
+    return limited(A.validated(A.from_forms(raw)), limit)
 
 
-def read_cheques(spark: SparkSession, path: str) -> DataFrame:
-    return A.validated(A.from_cheques(spark.read.schema(schemas.CHEQUE).json(path)))
+def read_cheques(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    return limited(A.validated(A.from_cheques(spark.read.schema(schemas.CHEQUE).json(path))), limit)
 
 
-def read_identity(spark: SparkSession, path: str) -> DataFrame:
+def read_identity(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     raw = spark.read.schema(schemas.IDENTITY).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
-    return A.validated(A.from_identity(raw.withColumn("stem", stem(F.col("path")))))
+    return limited(A.validated(A.from_identity(raw.withColumn("stem", stem(F.col("path"))))), limit)
 
 
-def read_char_boxes(spark: SparkSession, path: str) -> DataFrame:
+def read_char_boxes(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A JSON-lines export; pickled archives are never opened."""
     raw = spark.read.schema(schemas.CHAR_BOXES).json(path).withColumn("page", stem(F.input_file_name()))
-    return A.validated(A.from_char_boxes(raw))
+    return limited(A.validated(A.from_char_boxes(raw)), limit)
 
 
 def png(data: bytes, height: int, width: int, channels: int) -> bytes:
