@@ -31,7 +31,7 @@ USES = {
 }
 
 CTE["lined"] = """
-SELECT *, (l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 100 AS r, (l_orderkey % 40)::INT AS page FROM lineitem"""
+SELECT *, (l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 100 AS r, (l_orderkey // 40)::INT AS page FROM lineitem"""
 CTE["boxes"] = """
 SELECT page, id, x, y, w, h, greatest(1, (w * h * pct) // 100)::INT AS pixel_area, greatest(1, (w * h * pct) // 100) / (w * h)::DOUBLE AS fill_ratio FROM (
   SELECT page, row_number() OVER (PARTITION BY page ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS id,
@@ -229,7 +229,7 @@ O["review_apply"] = sql("srows", """
 SELECT sample_id::VARCHAR AS sample_id, source, CASE WHEN sample_id % 6 = 0 AND source = 'user' THEN 2 ELSE n_words END AS n_words, CASE WHEN sample_id % 6 = 0 AND source = 'user' THEN 'new w' || sample_id ELSE text END AS text FROM srows""")
 O["review_unmatched"] = sql("samples", "SELECT 'x' || sample_id AS sample_id FROM samples WHERE source = 'user'")
 O["benchmark_union"] = sql("samples", "SELECT CASE source WHEN 'user' THEN 'sroie' WHEN 'assistant' THEN 'funsd' ELSE 'cheque' END AS source, count(*) AS n, 160 AS synth FROM samples WHERE source IN ('user', 'assistant', 'system') GROUP BY ALL")
-O["validate_samples"] = sql("srows", "SELECT source, count(*) AS n FROM srows WHERE n_words > 0 OR n_chars > 0 GROUP BY source")
+O["validate_samples"] = sql("srows", "SELECT source, count(*) AS n, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok) AS passed FROM (SELECT source, (n_words > 0 AND dpi % 7 <> 0) OR n_chars > 0 AS ok FROM srows) GROUP BY source")
 O["json_round_trip"] = sql("srows", "SELECT sample_id::VARCHAR AS sample_id, source, dpi, n_words, n_chars < 0 AS no_chars, n_chars, template FROM srows")
 
 CTE["pixels"] = "SELECT image, (i // 8)::INT AS y, (i % 8)::INT AS x, least(255, greatest(0, floor(128 + 200 * embedding[i + 1]::DOUBLE)))::INT AS v FROM (SELECT vec_id AS image, embedding, unnest(range(len(embedding))) AS i FROM embeddings)"
@@ -249,7 +249,7 @@ O["connected_components"] = _CCL.format(ctes=_BINARY, side="")
 O["connected_components_4"] = _CCL.format(ctes=_BINARY, side="AND abs(i.y - r.y) + abs(i.x - r.x) <= 1")
 O["looks_like_text"] = "WITH c AS (" + O["connected_components"] + "), b AS (" + sql("inked", "SELECT image, count(*) FILTER (v = 255) AS ink FROM inked GROUP BY image") + """)
 SELECT b.image, ink <= 32 AND coalesce(good, 0) >= 3 AS text FROM b LEFT JOIN (SELECT image, count(*) FILTER (pixel_area >= 4 AND h >= 3 AND h <= 64e-1) AS good FROM c GROUP BY image) g ON b.image = g.image"""
-O["inverted_candidates"] = sql("boxes", "SELECT page, rank, id, pixel_area FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pixel_area DESC, id DESC) AS rank FROM boxes WHERE pixel_area >= 2000 AND fill_ratio >= 55e-2) WHERE rank <= 8")
+O["inverted_candidates"] = sql("boxes", "SELECT page::BIGINT AS page, rank, id, pixel_area::BIGINT AS pixel_area FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pixel_area DESC, id DESC) AS rank FROM boxes WHERE pixel_area >= 2000 AND fill_ratio >= 55e-2) WHERE rank <= 8")
 O["sauvola_binarize"] = sql("pixels", """
 WITH s AS (SELECT p.image, p.y, p.x, p.v, sum(q.v) AS s, sum(q.v * q.v) AS ss FROM pixels p, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx), pixels q WHERE q.image = p.image AND q.y = least(7, greatest(0, p.y + dy)) AND q.x = least(7, greatest(0, p.x + dx)) GROUP BY ALL)
 SELECT image, y, x, CASE WHEN v < (s / 9e0) * (1 + 2e-1 * (sqrt(greatest(ss / 9e0 - (s / 9e0) * (s / 9e0), 0e0)) / 128 - 1)) THEN 255 ELSE 0 END AS v FROM s""")
@@ -291,3 +291,99 @@ WHERE cx1 - cx0 >= 1 AND cy1 - cy0 >= 1 AND (cx1 - cx0) * (cy1 - cy0) >= 4e-1 *
 O["stratum_sequence"] = sql("samples", "SELECT i, template, format('synth_{}_{:04d}', template, n) AS sample_id FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY i) - 1 AS n FROM (SELECT sample_id AS i, CASE WHEN template = '' THEN 'plain' ELSE template END AS template FROM samples))")
 O["script_sets"] = sql("samples", "SELECT DISTINCT script, CASE WHEN script IN ('thai', 'arabic') THEN 'blocked' ELSE 'available' END AS status FROM samples")
 O["windowed_latency"] = "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY ALL"
+
+O["synth_plan"] = """
+SELECT * FROM (VALUES
+  (0, 'synth_id_card_0000', 'id_card', 'scan', 'scan', 300009), (1, 'synth_cheque_0000', 'cheque', 'scan', 'scan', 300010), (2, 'synth_form_0000', 'form', 'scan', 'scan', 300011),
+  (3, 'synth_id_card_0001', 'id_card', 'hard_photo', 'photo', 300012), (4, 'synth_cheque_0001', 'cheque', 'photo', 'photo', 300013), (5, 'synth_plain_arabic_0000', 'plain_arabic', 'scan', 'scan', 300014),
+  (6, 'synth_plain_han_0000', 'plain_han', 'scan', 'scan', 300015), (7, 'synth_form_0001', 'form', 'scan', 'scan', 300016), (8, 'synth_form_0002', 'form', 'photo', 'photo', 300017),
+  (9, 'synth_receipt_0000', 'receipt', 'scan', 'scan', 300018), (10, 'synth_form_0003', 'form', 'scan', 'scan', 300019), (11, 'synth_plain_latin_0000', 'plain_latin', 'clean_scan', 'scan', 300020),
+  (12, 'synth_cheque_0002', 'cheque', 'photo', 'photo', 300021), (13, 'synth_plain_han_0001', 'plain_han', 'scan', 'scan', 300022), (14, 'synth_form_0004', 'form', 'photo', 'photo', 300023),
+  (15, 'synth_form_0005', 'form', 'photo', 'photo', 300024), (16, 'synth_cheque_0003', 'cheque', 'hard_photo', 'photo', 300025), (17, 'synth_receipt_0001', 'receipt', 'hard_photo', 'photo', 300026),
+  (18, 'synth_plain_devanagari_0000', 'plain_devanagari', 'scan', 'scan', 300027), (19, 'synth_id_card_0002', 'id_card', 'photo', 'photo', 300028), (20, 'synth_plain_arabic_0001', 'plain_arabic', 'scan', 'scan', 300029),
+  (21, 'synth_form_0006', 'form', 'scan', 'scan', 300030), (22, 'synth_receipt_0002', 'receipt', 'photo', 'photo', 300031), (23, 'synth_cheque_0004', 'cheque', 'scan', 'scan', 300032),
+  (24, 'synth_form_0007', 'form', 'photo', 'photo', 300033), (25, 'synth_form_0008', 'form', 'photo', 'photo', 300034), (26, 'synth_plain_han_0002', 'plain_han', 'photo', 'photo', 300035),
+  (27, 'synth_form_0009', 'form', 'scan', 'scan', 300036), (28, 'synth_plain_han_0003', 'plain_han', 'photo', 'photo', 300037), (29, 'synth_plain_devanagari_0001', 'plain_devanagari', 'scan', 'scan', 300038)) t(i, sample_id, template, profile, capture, seed)"""
+O["capture_profiles"] = """
+SELECT * FROM (VALUES
+  ('digital', 'digital', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0, 1.0::DOUBLE, 1.0::DOUBLE, 0e0),
+  ('clean_scan', 'scan', 0.6::DOUBLE, 0.0::DOUBLE, 0.4::DOUBLE, 2.0::DOUBLE, 0.0::DOUBLE, 92, 0.9::DOUBLE, 1.0::DOUBLE, 0e0),
+  ('scan', 'scan', 1.8::DOUBLE, 0.0::DOUBLE, 0.8::DOUBLE, 4.0::DOUBLE, 0.12::DOUBLE, 80, 0.55::DOUBLE, 0.9::DOUBLE, 0e0),
+  ('photo', 'photo', 2.5::DOUBLE, 0.025::DOUBLE, 1.1::DOUBLE, 6.0::DOUBLE, 0.38::DOUBLE, 72, 0.5::DOUBLE, 0.85::DOUBLE, 0e0),
+  ('hard_photo', 'photo', 5.0::DOUBLE, 0.055::DOUBLE, 2.0::DOUBLE, 10.0::DOUBLE, 0.55::DOUBLE, 48, 0.3::DOUBLE, 0.55::DOUBLE, 0.1::DOUBLE)) t(profile, capture, rotation, perspective, blur, noise, illumination, quality, scale_low, scale_high, moire)"""
+O["strata_available"] = """
+SELECT * FROM (VALUES
+  ('id_card', 0.24::DOUBLE, 'photo', 0.5::DOUBLE),
+  ('id_card', 0.24::DOUBLE, 'scan', 0.25::DOUBLE),
+  ('id_card', 0.24::DOUBLE, 'hard_photo', 0.15::DOUBLE),
+  ('id_card', 0.24::DOUBLE, 'clean_scan', 0.1::DOUBLE),
+  ('cheque', 0.18::DOUBLE, 'photo', 0.4::DOUBLE),
+  ('cheque', 0.18::DOUBLE, 'scan', 0.35::DOUBLE),
+  ('cheque', 0.18::DOUBLE, 'hard_photo', 0.15::DOUBLE),
+  ('cheque', 0.18::DOUBLE, 'clean_scan', 0.1::DOUBLE),
+  ('receipt', 0.16::DOUBLE, 'photo', 0.45::DOUBLE),
+  ('receipt', 0.16::DOUBLE, 'scan', 0.35::DOUBLE),
+  ('receipt', 0.16::DOUBLE, 'hard_photo', 0.2::DOUBLE),
+  ('form', 0.14::DOUBLE, 'scan', 0.55::DOUBLE),
+  ('form', 0.14::DOUBLE, 'clean_scan', 0.2::DOUBLE),
+  ('form', 0.14::DOUBLE, 'photo', 0.25::DOUBLE),
+  ('plain_latin', 0.1::DOUBLE, 'scan', 0.5::DOUBLE),
+  ('plain_latin', 0.1::DOUBLE, 'clean_scan', 0.3::DOUBLE),
+  ('plain_latin', 0.1::DOUBLE, 'photo', 0.2::DOUBLE),
+  ('plain_han', 0.05::DOUBLE, 'scan', 0.6::DOUBLE),
+  ('plain_han', 0.05::DOUBLE, 'photo', 0.4::DOUBLE),
+  ('plain_devanagari', 0.05::DOUBLE, 'scan', 0.6::DOUBLE),
+  ('plain_devanagari', 0.05::DOUBLE, 'photo', 0.4::DOUBLE)) t(template, weight, profile, share)"""
+O["cell_size"] = sql("boxes", "SELECT page, greatest(8, floor(quantile_cont(greatest(w, h), 0.5)))::INT AS cell FROM boxes GROUP BY page")
+O["overlay_kinds"] = sql("comps", "SELECT sample_id, id, kind FROM comps WHERE kind IN ('diacritic', 'rule')")
+O["overlay_sample"] = sql("samples", "SELECT sample_id FROM samples ORDER BY md5(sample_id::VARCHAR || ':7'), sample_id LIMIT 25")
+O["review_todo"] = sql("samples", "SELECT sample_id FROM samples WHERE source = 'user' AND has_image AND sample_id % 3 <> 0 ORDER BY sample_id LIMIT 40")
+O["review_todo_all"] = sql("samples", "SELECT sample_id FROM samples WHERE source = 'assistant' AND has_image AND sample_id % 3 <> 0")
+O["path_capture"] = """
+SELECT page_id, 'p' || page_id || CASE WHEN page_id % 2 = 0 THEN '.v1' ELSE '' END AS stem, CASE page_id % 3 WHEN 0 THEN 'Photos' WHEN 1 THEN 'scans' ELSE 'my.photo_set' END AS parent, CASE page_id % 3 WHEN 1 THEN 'scan' ELSE 'photo' END AS capture FROM pages"""
+O["percent_format"] = "SELECT o_orderkey, CASE WHEN o_custkey % 9 = 0 THEN 'n/a' ELSE format('{:.1f}%', 100 * ((o_orderkey % 997) / 997e0)) END AS text FROM orders"
+O["generation_tallies"] = sql("samples", """
+WITH s AS (SELECT *, sample_id % 3 = 0 AS c FROM samples), t AS (
+  SELECT 'all' AS tally, 'all' AS value, c FROM s UNION ALL SELECT 'template', template, c FROM s UNION ALL SELECT 'capture', capture, c FROM s UNION ALL SELECT 'source', source, c FROM s)
+SELECT tally, value, count(*) AS n, count(*) FILTER (c) AS with_chars FROM t GROUP BY ALL""")
+O["person_names"] = """
+SELECT c_custkey, ['ALDER', 'BROOK', 'CLAY', 'DUNE', 'ELM', 'FERN', 'GLEN', 'HEATH', 'IVES', 'LARK', 'MOSS', 'NASH'][c_custkey % 12 + 1] || ' ' || ['ANNA', 'BEN', 'CARA', 'DAVID', 'EVA', 'FINN', 'GRETA', 'HUGO', 'INES', 'JONAS'][(c_custkey // 12) % 10 + 1] AS name,
+  'BLK ' || (1 + c_custkey * 3 % 899) || ' ' || ['NORTH ROAD', 'HARBOUR STREET', 'MILL LANE', 'STATION AVENUE', 'GARDEN WALK', 'HILL RISE 3'][c_custkey % 6 + 1] || '; #' || lpad((1 + c_custkey % 24)::VARCHAR, 2, '0') || '-' || lpad((1 + c_custkey * 7 % 399)::VARCHAR, 3, '0') || '; SINGAPORE ' || (100000 + c_custkey * 7919 % 729999) AS address
+FROM customer"""
+O["field_dates"] = """
+SELECT c_custkey, strftime(DATE '1950-01-01' + (c_custkey * 37 % 20075)::INT, '%d %b %Y') AS born, strftime(DATE '2026-01-01' + (c_custkey * 13 % 300)::INT, '%d/%m/%Y') AS issued, strftime(DATE '2026-01-01' + (c_custkey * 13 % 300)::INT, '%Y-%m-%d') AS iso FROM customer"""
+O["page_layout"] = sql("samples", """
+WITH l AS (SELECT sample_id, k - 1 AS line, parts[k] AS t FROM (SELECT sample_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM samples)),
+c AS (SELECT sample_id, line, i AS pos, substr(t, i::INT + 1, 1) AS ch FROM (SELECT sample_id, line, t, unnest(range(length(t))) AS i FROM l))
+SELECT sample_id, line::INT AS line, pos::INT AS pos, (20 + 14 * pos)::INT AS x, (20 + 30 * line)::INT AS y, 10 AS w, 20 AS h FROM c WHERE ch <> ' '""")
+O["zipped_boxes"] = sql("words nontext", """
+WITH b AS (SELECT sample_id, 'word' AS what, pos, text, x, y, w, h FROM words UNION ALL SELECT sample_id, 'nontext', pos, '', x, y, w, h FROM nontext),
+m AS (SELECT *, x * 5e-1 + 30 AS x0, (x + w) * 5e-1 + 30 AS x1, y * 5e-1 - 20 AS y0, (y + h) * 5e-1 - 20 AS y1 FROM b),
+k AS (SELECT *, greatest(x0, 0e0) AS a0, least(x1, 400e0) AS a1, greatest(y0, 0e0) AS b0, least(y1, 300e0) AS b1 FROM m)
+SELECT sample_id, what, pos, text, round_even(a0, 0)::INT AS x, round_even(b0, 0)::INT AS y, round_even(a1 - a0, 0)::INT AS w, round_even(b1 - b0, 0)::INT AS h FROM k
+WHERE a1 - a0 >= 1 AND b1 - b0 >= 1 AND (a1 - a0) * (b1 - b0) >= 4e-1 * greatest(1e0, (x1 - x0) * (y1 - y0))""")
+_GRAY = "least(255, greatest(0, floor(128 + 200 * embedding[{i}]::DOUBLE)))"
+O["grayscale"] = f"""
+SELECT vec_id AS image, (k // 4)::INT AS y, (k % 4)::INT AS x, round_even(114e-3 * {_GRAY.format(i="3 * k + 1")} + 587e-3 * {_GRAY.format(i="3 * k + 2")} + 299e-3 * {_GRAY.format(i="3 * k + 3")}, 0)::INT AS v FROM embeddings, range(16) t(k)"""
+O["resize_half"] = sql("pixels", "SELECT image, y // 2 AS y, x // 2 AS x, round_even(sum(v) / 4e0, 0)::INT AS v FROM pixels GROUP BY ALL")
+O["adaptive_gaussian"] = sql("pixels", """
+WITH g AS (SELECT i, exp(-((i - 17) * (i - 17)) / (2 * 56e-1 * 56e-1)) AS e FROM range(35) t(i)), n AS (SELECT i, e / sum(e) OVER () AS w FROM g),
+m AS (SELECT t, least(7, greatest(0, t + i - 17)) AS s, sum(w) AS w FROM n, range(8) r(t) GROUP BY ALL),
+down AS (SELECT image, t AS y, x, sum(w * v) AS f FROM pixels JOIN m ON y = s GROUP BY image, t, x),
+mean AS (SELECT image, y, t AS x, round_even(sum(w * f), 0) AS mean FROM down JOIN m ON x = s GROUP BY image, y, t)
+SELECT image, y, x, CASE WHEN v <= mean - 10 THEN 255 ELSE 0 END AS v FROM pixels JOIN mean USING (image, y, x)""")
+O["illumination_normalise"] = sql("pixels", """
+WITH d AS (SELECT p.image, p.y, p.x, p.v, max(q.v) AS m FROM pixels p JOIN pixels q ON q.image = p.image AND abs(q.y - p.y) + abs(q.x - p.x) <= 1 GROUP BY ALL),
+e AS (SELECT p.image, p.y, p.x, p.v, greatest(1, min(q.m)) AS bg FROM d p JOIN d q ON q.image = p.image AND abs(q.y - p.y) + abs(q.x - p.x) <= 1 GROUP BY p.image, p.y, p.x, p.v)
+SELECT image, y, x, least(255, round_even(v * 255e0 / bg, 0))::INT AS v FROM e""")
+O["fill_holes"] = "WITH RECURSIVE " + sql("inked", "SELECT 1").removeprefix("WITH ").removesuffix("\nSELECT 1") + """,
+out AS (SELECT image, y, x FROM inked WHERE v = 0 AND (y IN (0, 7) OR x IN (0, 7))
+  UNION SELECT i.image, i.y, i.x FROM out o JOIN inked i ON i.image = o.image AND i.v = 0 AND abs(i.y - o.y) + abs(i.x - o.x) = 1)
+SELECT i.image, i.y, i.x, CASE WHEN o.image IS NULL THEN 255 ELSE 0 END AS v FROM inked i LEFT JOIN out o ON i.image = o.image AND i.y = o.y AND i.x = o.x"""
+O["label_map"] = "WITH RECURSIVE " + sql("inked", "SELECT 1").removeprefix("WITH ").removesuffix("\nSELECT 1") + """,
+ink AS (SELECT image, y, x, y * 8 + x AS p FROM inked WHERE v = 255),
+reach AS (SELECT image, p, y, x, p AS root FROM ink UNION SELECT i.image, i.p, i.y, i.x, r.root FROM reach r JOIN ink i ON i.image = r.image AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1),
+lab AS (SELECT image, y, x, dense_rank() OVER (PARTITION BY image ORDER BY root) AS label FROM (SELECT image, y, x, min(root) AS root FROM reach GROUP BY image, p, y, x))
+SELECT i.image, i.y, i.x, coalesce(l.label, 0)::INT AS v FROM inked i LEFT JOIN lab l ON i.image = l.image AND i.y = l.y AND i.x = l.x"""
+O["constant_pages"] = """
+SELECT p_partkey::VARCHAR AS sample_id, (5 + 8 * k)::INT AS x, 20 AS y, 3 AS w, (4 + p_partkey % 5)::INT AS h, (3 * (4 + p_partkey % 5))::INT AS pixel_area, 'text' AS kind, '' AS reason FROM part, range(13) t(k)"""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..config import Preprocess, RunFilter
+from ..config import Binarize, Preprocess, RunFilter, Settings
 from ..functions import geometry as G
 from ..functions import kernels as K
 from ..functions import text as X
@@ -109,7 +110,14 @@ def dpi_bucket(spark, sf):
 
 @query
 def effective_dpi(spark, sf):
-    return D.samples(spark, sf).select("sample_id", F.bround(F.col("dpi") * (F.lit(0.3) + (F.col("sample_id") % 7) * F.lit(0.1))).cast("int").alias("dpi"))
+    return D.samples(spark, sf).select("sample_id", G.effective_dpi(F.col("dpi"), F.lit(0.3) + (F.col("sample_id") % 7) * F.lit(0.1)).alias("dpi"))
+
+
+@query
+def cell_size(spark, sf):
+    from ..operators.spatial import cell_sizes
+
+    return cell_sizes(_boxes(spark, sf), "page")
 
 
 @query
@@ -423,8 +431,11 @@ def benchmark_union(spark, sf):
 
 @query
 def validate_samples(spark, sf):
-    s = _sample_rows(spark, sf).where(A.has_truth())
-    return A.validated(s).groupBy("source").agg(F.count("*").alias("n"))
+    """Every sample, those without truth too: how many of each source pass and how many fail."""
+    s = _sample_rows(spark, sf).withColumn("words", F.when(F.col("dpi") % 7 == 0, A.no_boxes()).otherwise(F.col("words")))
+    checked = s.select("source", A.has_truth().alias("ok"))
+    passed = A.validated(s.where(A.has_truth())).groupBy("source").agg(F.count("*").alias("passed"))
+    return checked.groupBy("source").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed")).join(passed, "source", "left").select("source", "n", "failed", F.coalesce("passed", F.lit(0)).alias("passed"))
 
 
 @query
@@ -451,53 +462,82 @@ def otsu_binarize(spark, sf):
     return raster.otsu_binary(D.pixels(spark, sf))
 
 
+def _inked(spark, sf):
+    return raster.mapped(D.rasters(spark, sf), K.otsu)
+
+
 @query
 def connected_components(spark, sf):
-    return raster.connected_components(raster.otsu_binary(D.pixels(spark, sf)))
+    return raster.connected_components(_inked(spark, sf))
 
 
 @query
 def connected_components_4(spark, sf):
-    return raster.connected_components(raster.otsu_binary(D.pixels(spark, sf)), 4)
+    return raster.connected_components(_inked(spark, sf), 4)
 
 
 @query
 def inverted_candidates(spark, sf):
-    """Top components by area of each page that are large and well filled."""
-    big = _boxes(spark, sf).where((F.col("pixel_area") >= 2000) & (F.col("fill_ratio") >= 0.55))
-    rank = F.row_number().over(W.partitionBy("page").orderBy(F.col("pixel_area").desc(), F.col("id").desc()))
-    return big.withColumn("rank", rank).where(F.col("rank") <= 8).select("page", "rank", "id", "pixel_area")
+    """Top components by area of each page that are large and well filled: the kernel's rule on each page's boxes."""
+    boxes = _boxes(spark, sf).select("page", F.struct("id", *"xywh", "pixel_area").alias("c"))
+    packed = boxes.groupBy("page").agg(F.collect_list("c").alias("c"))  # a page has some 160 boxes
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                good = K.inverted_candidates([tuple(c.values()) for c in found], 1_000_000)
+                rows += [(page, k + 1, c[0], c[5]) for k, c in enumerate(good)]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["page", "rank", "id", "pixel_area"])
+
+    return packed.mapInArrow(run, "page long, rank long, id long, pixel_area long")
 
 
 @query
 def looks_like_text(spark, sf):
-    b = raster.otsu_binary(D.pixels(spark, sf))
-    return raster.per_image(b, lambda k, a: [(k, K.looks_like_text(a))], "image long, text boolean", ["image", "text"])
+    return raster.per_image(_inked(spark, sf), lambda a: [(K.looks_like_text(a),)], "text boolean")
+
+
+@query
+def label_map(spark, sf):
+    return raster.as_pixels(raster.label_maps(_inked(spark, sf)))
 
 
 @query
 def sauvola_binarize(spark, sf):
-    return raster.sauvola_sql(D.pixels(spark, sf))
+    return raster.as_pixels(raster.mapped(D.rasters(spark, sf), lambda a: K.sauvola(a, Binarize(sauvola_window=3))))
 
 
 @query
 def adaptive_gaussian(spark, sf):
-    return raster.mapped(D.pixels(spark, sf), K.adaptive_gaussian)
+    return raster.as_pixels(raster.mapped(D.rasters(spark, sf), K.adaptive_gaussian))
 
 
 @query
 def illumination_normalise(spark, sf):
-    return raster.mapped(D.pixels(spark, sf), lambda a: K.normalize_illumination(a, 3))
+    return raster.as_pixels(raster.mapped(D.rasters(spark, sf), lambda a: K.normalize_illumination(a, 3)))
 
 
 @query
 def fill_holes(spark, sf):
-    return raster.mapped(raster.otsu_binary(D.pixels(spark, sf)), lambda a: K.fill_holes(a).astype("uint8") * 255)
+    return raster.as_pixels(raster.mapped(_inked(spark, sf), lambda a: K.fill_holes(a).astype("uint8") * 255))
 
 
 @query
 def median_denoise(spark, sf):
-    return raster.mapped(D.pixels(spark, sf), K.median3)
+    return raster.as_pixels(raster.mapped(D.rasters(spark, sf), K.median3))
+
+
+@query
+def grayscale(spark, sf):
+    """The first 48 values of each raster as 4 x 4 pixels of blue, green and red."""
+    return raster.as_pixels(raster.mapped(D.rasters(spark, sf), lambda a: K.grayscale(a.ravel()[:48].reshape(4, 4, 3))))
+
+
+@query
+def resize_half(spark, sf):
+    return raster.as_pixels(raster.mapped(D.rasters(spark, sf), lambda a: K.resize(a, 0.5)))
 
 
 @query
@@ -508,13 +548,23 @@ def inverted_pixels(spark, sf):
 @query
 def page_pipeline(spark, sf):
     """Images to routed components, end to end, over rasters enlarged by the preprocessing itself."""
-    packed = D.pixels(spark, sf).groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: F.unhex(F.lpad(F.hex(p["v"]), 2, "0"))).alias("v"))
-    from ..config import Settings
-
-    images = packed.select(F.col("image").cast("string").alias("sample_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), F.aggregate("v", F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("data"))
+    data = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    images = D.rasters(spark, sf).select(F.col("image").cast("string").alias("sample_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
     return raster.page_results(raster.run_pages(images, Settings(preprocess=Preprocess(min_side=64))))
 
 
+@query
+def constant_pages(spark, sf):
+    """End to end over pages whose boxes are known: a row of 13 bars of ink on each, as high as the page's number says."""
+    d = D.table(spark, sf, "part").select("p_partkey", (4 + F.col("p_partkey") % 5).cast("int").alias("high"))
+    bar, gap = F.lit("00" * 3), F.lit("FF" * 5)
+    inked = F.concat(gap, F.repeat(F.concat(bar, gap), 13))
+    rows = F.concat(F.repeat(F.lit("FF" * 109), 20), F.array_join(F.array_repeat(inked, F.col("high")), ""), F.repeat(F.lit("FF" * 109), 20))
+    images = d.select(F.col("p_partkey").cast("string").alias("sample_id"), (40 + F.col("high")).alias("height"), F.lit(109).alias("width"), F.lit(1).alias("n_channels"), F.unhex(rows).alias("data"))
+    s = Settings(preprocess=Preprocess(upscale=False, normalize_illumination=False), binarize=Binarize(method="otsu", recover_inverted=False))
+    return raster.run_pages(images, s).select("sample_id", *"xywh", "pixel_area", "kind", "reason")
+
+
 # text and synthesis ------------------------------------------------------------------------------------------------
 
 
@@ -599,9 +649,96 @@ def stratum_sequence(spark, sf):
 @query
 def script_sets(spark, sf):
     """Scripts that occur, less those that can't be drawn; and both."""
-    s = D.samples(spark, sf).select("script").distinct()
-    blocked = spark.createDataFrame([("thai",), ("arabic",)], "script string")
-    return s.exceptAll(blocked).withColumn("status", F.lit("available")).unionByName(s.intersect(blocked).withColumn("status", F.lit("blocked")))
+    return synth.script_sets(D.samples(spark, sf).select("script"), spark.createDataFrame([("thai",), ("arabic",)], "script string"))
+
+
+@query
+def strata_available(spark, sf):
+    """Strata that stay where two scripts can't be drawn, with their profiles."""
+    rows = [(t, w, p, x) for t, w, options in synth.available(synth.STRATA, {"thai", "arabic"}) for p, x in options.items()]
+    return spark.createDataFrame(rows, "template string, weight double, profile string, share double")
+
+
+@query
+def capture_profiles(spark, sf):
+    return synth.profiles(spark)
+
+
+@query
+def overlay_kinds(spark, sf):
+    from ..operators.overlays import drawn
+
+    return drawn(D.components(spark, sf), ("diacritic", "rule")).select("sample_id", "id", "kind")
+
+
+@query
+def overlay_sample(spark, sf):
+    """The limit is the feature: so many samples by a hash of their id."""
+    from ..operators.overlays import sampled
+
+    return sampled(D.samples(spark, sf).select("sample_id"), 25, 7)
+
+
+@query
+def review_todo(spark, sf):
+    """The limit is the feature: so many samples of a source that have an image and no proposal."""
+    s = D.samples(spark, sf)
+    return A.proposals_todo(s, _pictures(spark, sf), s.where("sample_id % 3 = 0"), "user", 40).select("sample_id")
+
+
+@query
+def review_todo_all(spark, sf):
+    s = D.samples(spark, sf)
+    return A.proposals_todo(s, _pictures(spark, sf), s.where("sample_id % 3 = 0"), "assistant").select("sample_id")
+
+
+@query
+def path_capture(spark, sf):
+    """Stem, parent folder and capture of image paths."""
+    k = F.col("page_id")
+    path = F.concat(F.lit("/data/"), F.when(k % 3 == 0, "Photos").when(k % 3 == 1, "scans").otherwise("my.photo_set"), F.lit("/p"), k.cast("string"), F.when(k % 2 == 0, ".v1.png").otherwise(".jpg"))
+    return D.table(spark, sf, "pages").select("page_id", *A.path_parts(path))
+
+
+@query
+def percent_format(spark, sf):
+    d = D.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 9 != 0, (F.col("o_orderkey") % 997) / F.lit(997.0)).alias("rate"))
+    return d.select("o_orderkey", reports.percent(F.col("rate")).alias("text"))
+
+
+@query
+def generation_tallies(spark, sf):
+    s = D.samples(spark, sf).withColumn("has_chars", F.col("sample_id") % 3 == 0)
+    return reports.tallies(s)
+
+
+@query
+def person_names(spark, sf):
+    k = F.col("c_custkey")
+    return D.table(spark, sf, "customer").select("c_custkey", X.person_name(k).alias("name"), F.array_join(X.address(k), "; ").alias("address"))
+
+
+@query
+def field_dates(spark, sf):
+    k = F.col("c_custkey")
+    born, issued = X.birth_date(k * 37), X.recent_date(k * 13)
+    return D.table(spark, sf, "customer").select("c_custkey", F.date_format(born, "dd MMM yyyy").alias("born"), F.date_format(issued, "dd/MM/yyyy").alias("issued"), F.date_format(issued, "yyyy-MM-dd").alias("iso"))
+
+
+@query
+def page_layout(spark, sf):
+    """Lines of text laid out, a box a character."""
+    s = D.samples(spark, sf).select("sample_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return synth.layout(s).drop("ch")
+
+
+@query
+def zipped_boxes(spark, sf):
+    """Annotations behind a move of their boxes, told apart by kind and place; those that leave the frame drop out."""
+    w = D.words(spark, sf).select("sample_id", F.lit("word").alias("what"), "pos", "text", *"xywh")
+    n = D.nontext(spark, sf).select("sample_id", F.lit("nontext").alias("what"), "pos", F.lit("").alias("text"), *"xywh")
+    ids = D.samples(spark, sf).select("sample_id", *(F.lit(v).alias(f"m{i}") for i, v in enumerate((0.5, 0.0, 30.0, 0.0, 0.5, -20.0, 0.0, 0.0, 1.0))))
+    return synth.degrade_boxes(w.unionByName(n), ids, 400, 300)
 
 
 @query
