@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from glyphmill import cli
 from glyphmill.operators import overlays as O
@@ -35,5 +36,30 @@ def test_report_of_a_store(spark, tmp_path):
         sample = {"sample_id": sid, "source": "synth", "capture": "scan", "script": "latin", "dpi": 120, "chars": [{"bbox": list(g), "char": "x"} for g in glyphs], "words": [{"bbox": [10, 100, 248, 14], "text": "x"}], "meta": {"template": "form"}}
         (tmp_path / "gt" / f"{sid}.json").write_text(json.dumps(sample, indent=1))
     (tmp_path / "images" / "synth_1.png").write_bytes(png(page.tobytes(), 200, 300, 1))
-    text = cli.evaluate(spark, str(tmp_path), cli.Settings.from_dict({"preprocess": {"upscale": False, "normalize_illumination": False}, "binarize": {"method": "otsu"}}), cli.RunFilter(sources=("synth",)))
+    settings = cli.Settings.from_dict({"preprocess": {"upscale": False, "normalize_illumination": False}, "binarize": {"method": "otsu"}})
+    text = cli.evaluate(spark, str(tmp_path), settings, cli.RunFilter(sources=("synth",)), repeats=2, run_id="r1")
+    assert "| character isolation recall | 100.0% |" in text and "- skipped for want of an image: 1" in text and "### Latency: scan" in text
+    assert all(f"| {stage} |" in text for stage in ("preprocess", "binarize", "ccl", "total"))
+    assert cli.kept_report(spark, str(tmp_path), "r1").strip() == text.strip()
+    kept = {t: spark.read.json(f"{tmp_path}/results/r1/{t}").collect() for t in ("chars", "timings", "skipped")}
+    assert [(r.sample_id, r.isolated) for r in kept["chars"]] == [("synth_1", 13)] and {r.stage for r in kept["timings"]} == {"preprocess", "binarize", "ccl", "total"} and kept["skipped"][0].sample_id == "synth_2"
+    assert json.loads((tmp_path / "results/r1/about.json").read_text())["settings"]["binarize"]["method"] == "otsu"
+    with pytest.raises(RuntimeError, match="no samples match"):
+        cli.evaluate(spark, str(tmp_path), settings, cli.RunFilter(sources=("nobody",)))
+    with pytest.raises(RuntimeError, match="no ground truth"):
+        cli.evaluate(spark, f"{tmp_path}/none", settings, cli.RunFilter())
+    drawn = cli.draw_overlays(spark, str(tmp_path), settings, 1, 3, ("text",)).collect()
+    assert [r.sample_id for r in drawn] == ["synth_1"]
     assert "| all | all | 1 | 13 | 100.0% |" in text and "| template | form | 1 | 13 |" in text and "| dpi | 100-149 |" in text
+
+
+def test_legend_and_reasons():
+    page = np.full((160, 200), 255, np.uint8)
+    boxes = [(160, 20, 20, 20, "text"), (160, 60, 20, 20, "noise"), (160, 100, 10, 10, "noise")]
+    out = O.legend(page, boxes, ("ms: 7",))
+    panel = out[:120, :150]
+    assert (panel == O.COLOURS["noise"]).all(axis=2).any() and (out[:, 150:] == 255).all()
+    assert not (O.legend(page, boxes) == O.legend(page, boxes[:2])).all()  # counts differ
+    marked = O.reasons(page, [(*boxes[0], "t1:frame")])
+    assert (marked[10:20, 160:] == O.COLOURS["text"]).all(axis=2).any()
+    assert O.letters("a", 3).shape == (15, 12) and O.letters("").shape[1] == 0
