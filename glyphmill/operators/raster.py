@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -46,9 +47,17 @@ def label_images(images: DataFrame, s: Settings = Settings()) -> DataFrame:
     return spec.mapInArrow(run, f"{PAGE}, {COMPONENT}")
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows kept where they are made, in the checkpoint folder or, without one, on the executors' disks.
+
+    Routing reads a page's components several times, and a plan that reads a Python kernel several times runs it as often. Components are few next to pixels.
+    """
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist(StorageLevel.DISK_ONLY)
+
+
 def run_pages(images: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Components with kind and reason; boxes and centroids in the frame of the original image, pixel_area in that of processing."""
-    found = label_images(images, s).where("id is not null").withColumnRenamed("sample_id", "page")
+    found = once(label_images(images, s).where("id is not null").withColumnRenamed("sample_id", "page"))
     tier1 = found.withColumn("_to", absolute(F.col("width"), F.col("height"), s.route)).withColumn("kind", F.col("_to.kind")).withColumn("reason", F.col("_to.reason")).drop("_to")
     # the dense gate compares with the page's own area: scale areas so that one constant serves all pages
     norm = tier1.withColumn("_area", F.col("pixel_area")).withColumn("pixel_area", F.col("pixel_area") * 1e6 / (F.col("width") * F.col("height")))

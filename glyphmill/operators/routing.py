@@ -72,16 +72,25 @@ def with_parent(small: DataFrame, parents: DataFrame, s: Route) -> DataFrame:
 
 
 def scaled_pages(routed: DataFrame, page_area: int, s: Route) -> DataFrame:
-    """routed with columns dense, on (the relative gates run) and median of its page (0 where they don't)."""
+    """routed with columns dense, on (the relative gates run) and median of its page (0 where they don't).
+
+    The median is that of weighted_median, by windows over the page that the counts need anyway: one exchange, and the rows are not joined with a page's figures.
+    """
     page = W.partitionBy("page")
     text = F.col("kind") == "text"
     first = F.count(F.when(text, 1)).over(page) >= s.least_text
     dense = text & F.col("_first") & (F.col("pixel_area") > s.dense_area_frac * page_area)
     marked = routed.withColumn("_first", first & F.lit(s.relative)).withColumn("dense", dense)
     left = F.count(F.when(text & ~F.col("dense"), 1)).over(page) >= s.least_text
-    marked = marked.withColumn("on", F.col("_first") & left).drop("_first")
-    median = weighted_median(marked.where("on and kind = 'text' and not dense"), "page", s.cap_quantile)
-    return marked.join(median.withColumnRenamed("page", "_page"), F.col("page") == F.col("_page"), "left").drop("_page").withColumn("median", F.coalesce("median", F.lit(0)))
+    marked = marked.withColumn("on", F.col("_first") & left)
+    marked = marked.withColumn("_live", F.col("on") & text & ~F.col("dense"))
+    place, n = F.row_number().over(page.orderBy(~F.col("_live"), "pixel_area")) - 1, F.count(F.when(F.col("_live"), 1)).over(page)
+    marked = marked.withColumn("_at", F.when(place == F.floor(F.lit(s.cap_quantile) * (n - 1)), F.col("pixel_area")))
+    ink = F.when(F.col("_live"), F.least("pixel_area", F.greatest(F.lit(1), F.max("_at").over(page))))
+    marked = marked.withColumn("_ink", ink)
+    half = F.sum("_ink").over(page.orderBy("h")) * 2 >= F.sum("_ink").over(page)
+    marked = marked.withColumn("_half", F.when(F.col("_live") & half, F.col("h")))
+    return marked.withColumn("median", F.coalesce(F.min("_half").over(page), F.lit(0))).drop("_first", "_live", "_at", "_ink", "_half")
 
 
 def route_relative(routed: DataFrame, page_area: int = 1_000_000, s: Route = Route()) -> DataFrame:

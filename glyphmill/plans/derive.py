@@ -35,7 +35,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     sized = line.select(
         F.floor(F.col("l_orderkey") / ORDERS_A_PAGE).cast("int").alias("page"), *keys, ((part * 13 + F.col("l_linenumber") * 17) % 900).cast("int").alias("x"), ((F.col("l_orderkey") * 11 + supp * 29) % 900).cast("int").alias("y"),
-        pick(0, part).alias("w"), pick(1, supp).alias("h"), pick(2, part).alias("pct"),
+        # a generator keeps these from being worked out anew wherever a width or a height is used
+        F.inline(F.array(F.struct(pick(0, part).alias("w"), pick(1, supp).alias("h"), pick(2, part).alias("pct")))),
     )
     out = sized.withColumn("id", F.row_number().over(W.partitionBy("page").orderBy(*keys))).drop(*keys)
     area = F.greatest(F.lit(1), F.floor(F.col("w") * F.col("h") * F.col("pct") / 100)).cast("int")

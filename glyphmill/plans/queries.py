@@ -550,6 +550,7 @@ def page_pipeline(spark, sf):
     """Images to routed components, end to end, over rasters enlarged by the preprocessing itself."""
     data = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
     images = D.rasters(spark, sf).select(F.col("image").cast("string").alias("sample_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
+    images = images.repartition(spark.sparkContext.defaultParallelism)  # one small file, and kernels that take long for its size
     return raster.page_results(raster.run_pages(images, Settings(preprocess=Preprocess(min_side=64))))
 
 
