@@ -15,8 +15,6 @@ PATH, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 OWN = bpe.ByteBpe.load(PATH, P.PATTERN)
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}, special_tokens={})
 HF = Tokenizer.from_file(JSON)
-HF.encode_special_tokens = True
-LIB = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # as it comes: special tokens in texts are tokens
 ENC = tokenio.Encoder(JSON, P.PATTERN)
 TEXT = st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["the", " a", "ing", ". ", ", ", ".\n", "\n", "  ", "'s", "é", "œ", "x)", "12", "\x00", "\x1c", "\x85", " ", "²", "<|endoftext|>", "中文", "😀"]), max_size=20).map("".join))
 
