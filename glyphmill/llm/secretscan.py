@@ -3,8 +3,8 @@
 Added spans (kind novel): a string of MIN_LENGTH or more characters that starts within REACH characters behind the sensitive word before it, on its
 line or below, or goes on from such a string on the next line, and holds a digit and letters. Its novelty is the bytes that it adds to the
 compressed form of the text around it, by a compressor primed with identifiers that code commonly uses; the lines of a wrapped string also count together. Names, words and copies of what stands
-nearby cost little; a string is reported that costs MIN_BITS bits a character or more, or as much as random characters of its own
-alphabet (hexadecimal digits: 4 bits) where that is less, for compression comes close to that in long strings.
+nearby cost little. What chance would cost depends on alphabet, length and surroundings, so it is measured too: STAND_INS random strings of the same length and
+the same classes of characters take the string's place, and it is reported if it costs RANDOM of their mean or more.
 
 A string ends where the next sensitive word begins and belongs to the nearest word before it, so no character is looked at twice, added spans
 don't overlap, and none holds a sensitive word. At most AROUND characters on both sides are compressed with a string.
@@ -15,7 +15,7 @@ Repeated rows give repeated results. Empty table: empty result.
 
 from __future__ import annotations
 
-import math
+import random
 import re
 from bisect import bisect_right
 from functools import cache
@@ -39,9 +39,9 @@ JOINT = "=_~.-"
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Between the lines of a wrapped string.
 WRAP = re.compile(r"""[\x20\t"'\\+,]{0,8}\r?\n[\x20\t"'+]{0,64}""")
-MIN_LENGTH, REACH, AROUND, MIN_BITS = 16, 64, 160, 6.0
-#: Share of an alphabet's bits that counts as random, as a sample of it has somewhat less.
-RANDOM = 0.95
+MIN_LENGTH, REACH, AROUND = 16, 64, 160
+#: Share of the cost of random strings that counts as random, and how many of them are measured.
+RANDOM, STAND_INS = 0.88, 3
 #: What prose and code are made of, so that it compresses to little.
 IDENTIFIERS = """
 import from return class function const static public private protected void string int float double boolean true false null none self this
@@ -61,21 +61,24 @@ def compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal bits a character of text[start:end] in its surroundings."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+def novelty(text: str, start: int, end: int) -> tuple[float, float]:
+    """Marginal bits a character of text[start:end] in its surroundings, and the mean of what its stand-ins would cost there."""
+    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
     size = lambda x: len(compressor().compress(x.encode()))
-    return 8 * (size(before + after + text[start:end]) - size(before + after)) / (end - start)
+    own, alone = text[start:end], size(around)
+    bits = [8 * (size(around + x) - alone) / len(own) for x in (own, *stand_ins(own))]
+    return bits[0], sum(bits[1:]) / STAND_INS
 
 
-def alphabet_bits(s: str) -> float:
-    """Bits a character of random strings in the alphabet of s: digits, hexadecimal letters or all of a case, and its other characters."""
+def stand_ins(s: str) -> list[str]:
+    """Random strings as long as s of the digits, the hexadecimal letters or all of a case, and the other characters that s has. The same for the same s."""
     seen = set(s)
-    size = 10 * any(c.isdigit() for c in seen) + sum(not c.isalnum() for c in seen)
+    alphabet = "0123456789" * any(c.isdigit() for c in seen) + "".join(sorted(c for c in seen if not c.isalnum()))
     for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
         if own := seen & set(letters):
-            size += 6 if own <= set(letters[:6]) else 26
-    return math.log2(size)
+            alphabet += letters[:6] if own <= set(letters[:6]) else letters
+    draw = random.Random(s)
+    return ["".join(draw.choices(alphabet, k=len(s))) for _ in range(STAND_INS)]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -126,7 +129,8 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
             at = bisect_right(starts, start)
             if at and reach[at - 1] >= end:
                 continue
-            measured.append((start, end, novelty(text, start, end), min(MIN_BITS, RANDOM * alphabet_bits(s))))
+            bits, chance = novelty(text, start, end)
+            measured.append((start, end, bits, RANDOM * chance))
         whole = sum((e - b) * bits for b, e, bits, _ in measured) >= sum((e - b) * least for b, e, _, least in measured)
         out += [("novel", b, e) for b, e, bits, least in measured if whole or bits >= least]
     return out
