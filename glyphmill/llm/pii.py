@@ -107,13 +107,26 @@ _WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 SPELLED = re.compile(rf"(?i)\b(?:plus[\s,]{{1,3}}+)?{_WORD}(?:[\s,;.-]{{1,3}}+(?:(?:dot|punto|punkt|double|triple)[\s,;-]{{1,3}}+)?{_WORD})*+\b")
 TOKEN = re.compile(r"(?i)[^\W\d_]+")
 LEAST_SPELLED = 4
+#: Shorter runs count where digits stand beside them: the base patterns decide what the whole is.
+ASCII_DIGITS = frozenset("0123456789")
+DIGIT_AHEAD = re.compile(r"[\s,;.-]{0,3}[(+]?[0-9]")
+DIGIT_BEHIND = re.compile(r"[0-9][\s,;.-]{0,3}\Z")
 #: Words that a run of spelled digits may hold, as they stand between white space and punctuation.
 RUN_WORDS = frozenset([*DIGITS, *TIMES, "plus", "dot", "punto", "punkt"])
 
 
 def has_spelled(low: str) -> bool:
-    """Whether a lower-case text has LEAST_SPELLED words of a run one after another."""
-    return bytes([1]) * LEAST_SPELLED in bytes(map(RUN_WORDS.__contains__, low.replace("-", " ").replace(",", " ").replace(";", " ").replace(".", " ").split()))
+    """Whether a lower-case text has LEAST_SPELLED words of a run one after another, or fewer beside digits."""
+    words = low.replace("-", " ").replace(",", " ").replace(";", " ").replace(".", " ").split()
+    in_run = bytes(map(RUN_WORDS.__contains__, words))
+    if bytes([1]) * LEAST_SPELLED in in_run:
+        return True
+    at = in_run.find(1)
+    while at >= 0:
+        if at and words[at - 1][-1] in ASCII_DIGITS or at + 1 < len(words) and words[at + 1].lstrip("(+")[:1] in ASCII_DIGITS:
+            return True
+        at = in_run.find(1, at + 1)
+    return False
 
 
 def has_disguise(text: str, low: str) -> bool:
@@ -168,7 +181,7 @@ def spelled(m: Mapped) -> Mapped:
     edits: list[tuple[int, int, str]] = []
     for run in SPELLED.finditer(m.text):
         words = list(TOKEN.finditer(m.text, run.start(), run.end()))
-        if len(words) < LEAST_SPELLED:
+        if len(words) < LEAST_SPELLED and not DIGIT_AHEAD.match(m.text, run.end()) and not DIGIT_BEHIND.search(m.text, max(run.start() - 4, 0), run.start()):
             continue
         times, at = 1, run.start()
         for w in words:

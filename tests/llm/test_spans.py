@@ -64,6 +64,35 @@ def test_at_and_dot_stand_alone(text, part):
         assert ("email", at, at + len(part)) in pii.find_pii(text + far)[1]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("call +49 151 two three four 5678 now", "phone", "+49 151 two three four 5678"),
+        ("call +4915 six 78 nine", "phone", "+4915 six 78 nine"),
+        ("pay 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+        ("pay four 111 1111 1111 1111 now", "card", "four 111 1111 1111 1111"),
+        ("plus four nine 151 2345678", "phone", "plus four nine 151 2345678"),
+    ],
+)
+def test_identifiers_spelled_in_part(text, kind, part):
+    at = text.index(part)
+    base, added = pii.find_pii(text)
+    assert base == [] or all(k != kind for k, _, _ in base)
+    assert (kind, at, at + len(part)) in added
+
+
+@pytest.mark.parametrize("text", ["In 2020 one of 3 two 4 five.", "Room 12, two beds; 3 one-way trips", "+49 one"])
+def test_digit_words_beside_numbers_add_nothing(text):
+    assert pii.find_pii(text) == ([], [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"one two zwei cinq plus dot double six".split(), "12", "+49", "4111", "(", ".", ",", " ", " ", "x", "a@b.co"]), max_size=14).map(" ".join))
+def test_gate_of_spelled_runs_passes_all_that_is_rewritten(x):
+    if pii.spelled(pii.Mapped(x)).text != x:
+        assert pii.has_spelled(x.lower())
+
+
 @pytest.mark.parametrize("text", ["", "We met at noon and one of the two left.", "Das ist ein Satz ohne Daten.", "Il y a un ou deux mots ici, six ou sept."])
 def test_clean_text_adds_nothing(text):
     assert pii.find_pii(text) == ([], [])
