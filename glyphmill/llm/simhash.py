@@ -55,6 +55,8 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 100_000
 PART = 1 << 15
 #: Runs up to this length are compared by shifted copies of the sorted posts; longer ones by a search each.
 SHORT_RUN = 24
+#: Join keys among which the edges of one node are dealt.
+SALTS = 32
 
 
 def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -343,12 +345,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where("v < u")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        to = both.join(least, "u")
+        # a node of very many edges is SALTS keys of the join; a node meets only the salts that its edges have
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.collect_set("salt").alias("salts"))
+        to = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
         if large:
             new = to.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
-            new = to.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+            new = to.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(to.select(F.col("m").alias("a"), F.col("u").alias("b")))
         return new.where("a < b").distinct()
 
     def sign(e: DataFrame) -> tuple:

@@ -94,6 +94,27 @@ def test_chain_of_many_steps(spark):
     assert got == {i: 0 for i in range(1, 201)}
 
 
+def test_components_of_stars_and_random_graphs(spark):
+    """Nodes of very many edges, whether smallest or largest of their component, and what hangs on their leaves; against a search from node to node."""
+    rng = random.Random(5)
+    edges = [(0, x) for x in range(1, 3000)] + [(x, 10_000) for x in range(5000, 8000)] + [(x, x + 20_000) for x in range(2500, 2600)]
+    edges += [(rng.randrange(40_000, 40_400), rng.randrange(40_400, 40_800)) for _ in range(350)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [] if node in want else [node]
+        while todo:
+            at = todo.pop()
+            if at not in want:
+                want[at] = node
+                todo += near[at]
+    got = {r.node: r.root for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
 def test_edges(edge_docs):
     assert S.near_duplicates(edge_docs).count() == edge_docs.count()
     assert S.near_duplicates(edge_docs.limit(0)).count() == 0
