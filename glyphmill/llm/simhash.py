@@ -18,7 +18,8 @@ Shares of shingles. Four bits of 64 are a very high similarity: shingle sets tha
 share of shingles is asked for (the corpus pipeline), similar_groups decides it by the shingle sets themselves, without loss:
 1. Prefixes. In one order of all shingles, two sets with a Jaccard similarity of 0.8 or more share one of their first n - ceil(0.8 n) + 1. Each
 distinct set posts itself at these. The order puts shingles that a sample finds often last, so common lines are seldom posted;
-the answer doesn't depend on the order.
+the answer doesn't depend on the order. A post tells the set's size and the shingle's place in it. At the first shingle that two sets share, what follows in
+either holds all that they share; a post goes on only where that is enough with another one, so chance meetings end at the first exchange.
 2. Sketches. A set's sketch has a bit for each of 512 parts of the hashes, of more where it is large: the parity of its count. Sketches of one
 width differ in at most as many bits as the sets differ in shingles; a wider one is folded to half its width. So a pair at one post that differs in more bits than 0.8 allows for its sizes, or whose sizes alone rule 0.8 out, is no
 link; the others are candidates, and a forest of them has the components of all candidates.
@@ -55,6 +56,8 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 100_000
 PART = 1 << 15
 #: Runs up to this length are compared by shifted copies of the sorted posts; longer ones by a search each.
 SHORT_RUN = 24
+#: Neighbours that a post of similar size is compared with; where there are more, the whole key goes on.
+NEIGHBOURS = 256
 #: Join keys among which the edges of one node are dealt.
 SALTS = 32
 
@@ -117,6 +120,24 @@ def prefix(own: np.ndarray, common_ones: np.ndarray, often: np.ndarray) -> np.nd
     return own[np.argsort(rank, kind="stable")[: n - -(-SHARE[0] * n // SHARE[1]) + 1]]
 
 
+def may_meet(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which posts, sorted by key and size, may be the first shingle that their set shares with another of at least SHARE; whole runs of a key.
+
+    A post of a set of x shingles with place (from 0) i has x - i left. Never false for the first common post of sets with SHARE in common.
+    """
+    num, den = SHARE
+    out, i = np.zeros(len(keys), bool), np.arange(len(keys))
+    for d in range(1, NEIGHBOURS):
+        i = i[: np.searchsorted(i, len(keys) - d)]
+        i = i[(keys[i] == keys[i + d]) & (den * sizes[i] >= num * sizes[i + d])]
+        if not len(i):
+            return out
+        x, y = sizes[i], sizes[i + d]
+        near = i[-(-num * (x + y) // (num + den)) <= np.minimum(x - places[i], y - places[i + d])]
+        out[near] = out[near + d] = True
+    return out | np.isin(keys, keys[i])
+
+
 def distinct(edges: np.ndarray) -> np.ndarray:
     """Edges as rows, each once, the smaller end first."""
     return np.unique(np.sort(edges.reshape(-1, 2), axis=1), axis=0)
@@ -418,13 +439,16 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, part: int = PART) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, part: int = PART, tables: common.Passing | None = None) -> DataFrame:
     """doc_id, ta, tb (common.text_key of the text), component_id, stays: components of documents whose shingle sets have a Jaccard similarity of SHARE or more.
 
     stays marks, in each component, the row of the least id that is not null (of equal ids the least text key); rows that share id and text are all marked.
+    tables: what holds intermediate tables; once it is dropped, the result can't be read.
     """
+    tables = tables or common.Passing(docs.sparkSession)
     docs = common.id_text(docs, id_col, text_col)
     ordered = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    tables.ended()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingle_set(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -433,14 +457,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "ta", "tb", "cls", "size", "fp", "prefix"])
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners)], ["key", "cls"])
+        keys = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        n = [len(x) for x in keys]
+        owners, sizes = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+        places = np.concatenate([np.arange(k) for k in n])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), owners, sizes, places)], ["key", "cls", "size", "place"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             same = np.diff(batch.column(0).to_numpy()) == 0
-            yield batch.filter(pa.array(np.append(same, False) | np.append(False, same)))
+            batch = batch.filter(pa.array(np.append(same, False) | np.append(False, same)))
+            keys, sizes, places = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            by = np.lexsort((sizes, keys))
+            on = by[may_meet(keys[by], sizes[by], places[by])]
+            yield batch.select(["key", "cls"]).take(pa.array(np.sort(on)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((0, 2), np.int64)
@@ -455,20 +485,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n = common.partitions_for(docs)
     keyed = docs.select("*", *(k.alias(c) for k, c in zip(common.text_key(F.col("text")), ("ta", "tb"), strict=True)))
-    own = common.written(common.map_batches(keyed, sets, "doc_id long, ta long, tb long, cls long, size long, fp binary, prefix binary"), "near-sets")
-    posted = common.map_batches(own.select("cls", "prefix").dropDuplicates(["cls"]), post, "key long, cls long")
+    own = tables.written(common.map_batches(keyed, sets, "doc_id long, ta long, tb long, cls long, size long, fp binary, prefix binary"), "near-sets")
+    several = common.holder(own.groupBy("cls").count().where("count > 1").select("cls"))([F.col("cls")])
+    prefixes = own.select("cls", "size", "prefix")  # few rows share their class, so only those are shuffled
+    prefixes = prefixes.where(~several).unionByName(prefixes.where(several).dropDuplicates(["cls"]))
+    posted = common.map_batches(prefixes, post, "key long, cls long, size long, place long")
     posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long")
-    posted = common.written(posted, "near-posts")
+    posted = tables.written(posted, "near-posts")
+    tables.ended()
     sketches = own.select("cls", "size", "fp").dropDuplicates(["cls"])
     posted = posted.join(sketches, "cls").select("key", "cls", "size", "fp").repartition(n, "key").sortWithinPartitions("key")
-    found = common.written(common.map_partitions(posted, candidates, "a long, b long").distinct(), "near-candidates")
-    classes = common.written(own.groupBy("cls").agg(F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ta", "tb")).alias("least")), "near-classes")
-    edges = true_links(found, classes.select("cls", "size", "least.ta", "least.tb"), keyed.select("text", "ta", "tb"), shingle, part)
+    found = tables.written(common.map_partitions(posted, candidates, "a long, b long").distinct(), "near-candidates")
+    own = tables.written(own.select("doc_id", "ta", "tb", "cls", "size"), "near-rows")
+    tables.drop("near-sets", "near-posts")
+    classes = tables.written(own.groupBy("cls").agg(F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ta", "tb")).alias("least")), "near-classes")
+    edges = true_links(found, classes.select("cls", "size", "least.ta", "least.tb"), keyed.select("text", "ta", "tb"), shingle, part, tables)
     roots = components(edges)
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     # written, so that the join reads a plain exchange, which adaptive execution splits where one component is most of the rows
-    named = common.written(rooted.groupBy("root").agg(F.min("least").alias("stays")), "near-roots")
-    named = common.written(rooted.join(named, "root").select("cls", "stays"), "near-named")
+    named = tables.written(rooted.groupBy("root").agg(F.min("least").alias("stays")), "near-named-roots")
+    named = tables.written(rooted.join(named, "root").select("cls", "stays"), "near-named")
     out = own.select("doc_id", "ta", "tb", "cls").join(named, "cls")
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("ta") == F.col("stays.ta")) & (F.col("tb") == F.col("stays.tb"))
     return out.select("doc_id", "ta", "tb", F.col("stays.doc_id").alias("component_id"), stays.alias("stays"))
@@ -485,25 +521,27 @@ def forest_of(members: list[tuple[int, np.ndarray]], joined: int = 0) -> pa.Reco
     return edges_out(np.array([c for c, _ in members], np.int64)[found])
 
 
-def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, part: int = PART) -> DataFrame:
+def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, part: int, tables: common.Passing) -> DataFrame:
     """Edges a < b among classes of shingle sets, whose components are those of all links within components of candidates.
 
     found: candidate edges a, b. classes: cls, size, ta, tb (the key of a text of the class). texts: text, ta, tb.
     """
     n = common.partitions_for(found)
     roots = components(found)
-    roots = common.written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-roots")  # a root itself has no row
-    members = roots.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "size", "ta", "tb")
+    roots = tables.written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-roots")  # a root itself has no row
+    members = tables.written(roots.join(classes, F.col("node") == F.col("cls")).select("root", "cls", "size", "ta", "tb"), "near-of")
+    texts = texts.where(common.holder(members.select("ta", "tb"))([F.col("ta"), F.col("tb")]))  # only theirs are shuffled, and few others
     some = members.join(texts, ["ta", "tb"], "inner").groupBy("root", "cls", "size", "ta", "tb").agg(F.first("text").alias("text"))
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingle_set(t, shingle).tobytes() for t in batch.column(3).cast(pa.binary()).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["root", "cls", "size", "own"])
 
-    sets = common.written(common.map_batches(some.select("root", "cls", "size", "text"), hashed, "root long, cls long, size long, own binary"), "near-members")
+    sets = tables.written(common.map_batches(some.select("root", "cls", "size", "text"), hashed, "root long, cls long, size long, own binary"), "near-members")
+    tables.ended()
     ends = found.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
     hubs = members.join(ends, "cls").groupBy("root").agg(F.sum("size").alias("total"), F.max(F.struct("degree", "cls"))["cls"].alias("hub"))
-    hubs = common.written(hubs.withColumn("parts", F.ceil(F.col("total") / part).cast("int")), "near-hubs")
+    hubs = tables.written(hubs.withColumn("parts", F.ceil(F.col("total") / part).cast("int")), "near-hubs")
     of = sets.join(hubs, "root")
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,9 +550,10 @@ def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
                 yield forest_of([(c, np.frombuffer(own, np.uint64)) for _, c, own in group])
 
     small = of.where("parts = 1").select("root", "cls", "own").repartition(n, "root").sortWithinPartitions("root", "cls")
-    edges = common.written(common.map_partitions(small, together, "a long, b long"), "near-edges")
+    edges = tables.written(common.map_partitions(small, together, "a long, b long"), "near-edges")
     large = hubs.where("parts > 1")
     if large.isEmpty():
+        tables.drop("near-members")
         return edges
 
     def with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,10 +572,10 @@ def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     dealt = big.where("cls <> hub").select("root", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "cls", "own")
     sent = big.where("cls = hub").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "cls", "own")
     met = dealt.unionByName(sent).repartition(n, "root", "part").sortWithinPartitions("root", "part", "member")
-    joined = common.written(common.map_partitions(met, with_hub, "root long, cls long, joined boolean"), "near-joined")
+    joined = tables.written(common.map_partitions(met, with_hub, "root long, cls long, joined boolean"), "near-joined")
     star = joined.where("joined").join(large.select("root", "hub"), "root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
     open_ones = joined.where("not joined").select("root", "cls").join(classes.select("cls", "size"), "cls")
-    open_parts = common.written(open_ones.groupBy("root").agg(F.ceil(F.sum("size") / part).cast("int").alias("open_parts")), "near-open")
+    open_parts = tables.written(open_ones.groupBy("root").agg(F.ceil(F.sum("size") / part).cast("int").alias("open_parts")), "near-open")
 
     def parts_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
@@ -553,7 +592,8 @@ def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     left = all_of.where("not joined").select("root", of_part("open_parts").alias("i"), across("parts").alias("j"), "joined", "cls", "own")
     right = all_of.select("root", across("open_parts").alias("i"), of_part("parts").alias("j"), "joined", "cls", "own")
     pairs = left.unionByName(right).repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    crossed = common.written(common.map_partitions(pairs, parts_meet, "a long, b long"), "near-crossed")
+    crossed = tables.written(common.map_partitions(pairs, parts_meet, "a long, b long"), "near-crossed")
+    tables.drop("near-members")
     return edges.unionByName(star).unionByName(crossed).distinct()
 
 
@@ -573,7 +613,9 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one row of each component of similar_groups, all columns as they are. Edge cases as there and in common.only."""
-    decided = common.written(similar_groups(docs, id_col, text_col, shingle).select("doc_id", "ta", "tb", "stays"), "near-decided")
+    tables = common.Passing(docs.sparkSession)
+    decided = common.written(similar_groups(docs, id_col, text_col, shingle, tables=tables).select("doc_id", "ta", "tb", "stays"), "near-decided")
+    tables.drop()
     return common.only(docs, [docs[common.quoted(id_col)].cast("long"), *common.text_key(docs[common.quoted(text_col)])], decided)
 
 

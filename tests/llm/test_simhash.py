@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from glyphmill.llm import common as K
 from glyphmill.llm import simhash as S
 
 
@@ -178,3 +179,32 @@ def test_candidates_lose_no_pair_at_the_limit():
         both = S.Sketches([S.sketch(a).tobytes(), S.sketch(b).tobytes()], np.array([len(a), len(b)]))
         assert both.may_share(np.array([0]), np.array([1])).all()
         assert S.shared_forest([a, b]) == [(0, 1)]
+
+
+def test_posts_that_cannot_meet_stop_at_the_first_exchange():
+    """Of pairs at 0.8 or more the first common post goes on; chance meetings of sets unlike in size or late in their prefix don't."""
+    rng, none = np.random.default_rng(7), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for n in (1, 2, 4, 5, 9, 40, 400, 1025):
+        for m in {n, -(-4 * n // 5), -(-9 * n // 10)}:  # a set of n and one of m that share just enough
+            inter = -(-4 * (n + m) // 9)
+            pool = np.unique(rng.integers(0, 1 << 63, 3 * n + 20).astype(np.uint64))
+            rng.shuffle(pool)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:inter], pool[n : n + m - inter]]))
+            p, q = (S.prefix(x, *none) for x in (b, a))
+            rows = sorted([(k, m, i) for i, k in enumerate(p.tolist())] + [(k, n, i) for i, k in enumerate(q.tolist())])
+            keys, sizes, places = (np.array(x) for x in zip(*rows, strict=True))
+            first = next(k for k in p.tolist() if k in q.tolist())
+            assert S.may_meet(keys, sizes, places)[keys == first].all()
+    assert S.may_meet(*map(np.array, ([1, 1, 2, 2, 3], [100, 300, 100, 100, 5], [0, 0, 19, 19, 0]))).tolist() == [False] * 5
+    assert S.may_meet(*map(np.array, ([1, 1, 2, 2], [100, 101, 80, 100], [0, 3, 0, 0]))).all()
+    assert S.may_meet(np.zeros(2000, np.int64), np.full(2000, 100), np.where(np.arange(2000) % 1000, 20, 0)).all()  # many neighbours: the key goes on
+
+
+def test_near_stage_leaves_its_result_only(spark, docs):
+    """Intermediate tables and shuffle files of the stage don't stay on disk till the driver ends."""
+    before = set(K._made)
+    texts = [" ".join(f"w{g}x{k}" for k in range(60)) for g in range(20)]
+    d = docs([(2 * i + k, t + " end" * k) for i, t in enumerate(texts) for k in (0, 1)])
+    out = S.without_near_copies(d)
+    assert {p.split("glyphmill-")[-1].rsplit("-", 1)[0] for p in set(K._made) - before} <= {"near-decided", "odd-keys", "cc"}
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
