@@ -15,11 +15,13 @@ Components then follow from alternating large-star and small-star steps on the e
 written to the shared folder.
 
 Shares of shingles. Four bits of 64 are a very high similarity: shingle sets that share 0.8 of their shingles differ in 8 to 10 bits. Where a
-share of shingles is asked for (the corpus pipeline), similar_groups decides it by the shingle sets themselves, without loss:
-1. Prefixes. In one order of all shingles, two sets with a Jaccard similarity of 0.8 or more share one of their first n - ceil(0.8 n) + 1. Each
+share of shingles is asked for (the corpus pipeline), similar_groups takes its first candidates from the fingerprints, finds the pairs that these
+can't reach by the shingle sets, and decides all by counting, without loss:
+0. Fingerprints. All above, from fingerprints to components: what hangs together by links is one group of candidates.
+1. Prefixes, for pairs of different groups. In one order of all shingles, two sets with a Jaccard similarity of 0.8 or more share one of their first n - ceil(0.8 n) + 1. Each
 distinct set posts itself at these. The order puts shingles that a sample finds often last, so common lines are seldom posted;
 the answer doesn't depend on the order. A post tells the set's size and the shingle's place in it. At the first shingle that two sets share, what follows in
-either holds all that they share; a post goes on only where that is enough with another one, so chance meetings end at the first exchange.
+either holds all that they share; a post goes on only where that is enough with one of another group, so chance meetings end at the first exchange.
 2. Sketches. A set's sketch has a bit for each of 512 parts of the hashes, of more where it is large: the parity of its count. Sketches of one
 width differ in at most as many bits as the sets differ in shingles; a wider one is folded to half its width. So a pair at one post that differs in more bits than 0.8 allows for its sizes, or whose sizes alone rule 0.8 out, is no
 link; the others are candidates, and a forest of them has the components of all candidates.
@@ -35,7 +37,7 @@ returned. Empty table: empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,18 +84,28 @@ def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([h(spaced[i:j], SEED) for i, j in zip(a, b, strict=True)], np.uint64)
 
 
-def _counts(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
-    """How often each bit is set in the shingles' hashes, and the number of shingles."""
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """Unsigned 64-bit fingerprint of shingles' hashes: the bits set in over half of them; of none zero."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in _hashes(text, shingle):
+    for hashes in parts:
         n += len(hashes)
         counts += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return counts, n
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
     """Distinct hashes of the shingles, ascending."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]))
+    return _distinct(_hashes(text, shingle))
+
+
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
+
+def set_and_fingerprint(text: bytes, shingle: int = 5) -> tuple[np.ndarray, int]:
+    """shingle_set and fingerprint, with one pass over the shingles."""
+    parts = list(_hashes(text, shingle))
+    return _distinct(parts), _majority(parts)
 
 
 def set_class(own: np.ndarray) -> int:
@@ -120,20 +132,26 @@ def prefix(own: np.ndarray, common_ones: np.ndarray, often: np.ndarray) -> np.nd
     return own[np.argsort(rank, kind="stable")[: n - -(-SHARE[0] * n // SHARE[1]) + 1]]
 
 
-def may_meet(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which posts, sorted by key and size, may be the first shingle that their set shares with another of at least SHARE; whole runs of a key.
+def may_meet(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """Which posts, sorted by key and size, may be the first shingle that their set shares with another of at least SHARE, of another group; whole runs of a key.
 
-    A post of a set of x shingles with place (from 0) i has x - i left. Never false for the first common post of sets with SHARE in common.
+    A post of a set of x shingles with place (from 0) i has x - i left. Never false for the first common post of such sets.
+    Without groups each post is one of its own.
     """
     num, den = SHARE
     out, i = np.zeros(len(keys), bool), np.arange(len(keys))
+    groups = i if groups is None else groups
+    if len(keys):
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        mixed = np.minimum.reduceat(groups, first) != np.maximum.reduceat(groups, first)
+        i = np.flatnonzero(np.repeat(mixed, np.diff(np.append(first, len(keys)))))
     for d in range(1, NEIGHBOURS):
         i = i[: np.searchsorted(i, len(keys) - d)]
         i = i[(keys[i] == keys[i + d]) & (den * sizes[i] >= num * sizes[i + d])]
         if not len(i):
             return out
         x, y = sizes[i], sizes[i + d]
-        near = i[-(-num * (x + y) // (num + den)) <= np.minimum(x - places[i], y - places[i + d])]
+        near = i[(groups[i] != groups[i + d]) & (-(-num * (x + y) // (num + den)) <= np.minimum(x - places[i], y - places[i + d]))]
         out[near] = out[near + d] = True
     return out | np.isin(keys, keys[i])
 
@@ -247,8 +265,7 @@ def share(a: np.ndarray, b: np.ndarray) -> bool:
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """Unsigned 64-bit fingerprint of a text in UTF-8; without words zero."""
-    counts, n = _counts(text, shingle)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
+    return _majority(_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -320,8 +337,8 @@ def edges_of(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> set[tuple[i
     return out
 
 
-def links(fps: DataFrame, most: int = MOST) -> DataFrame:
-    """Edges a < b among distinct fingerprints (column fp); their components are those of all links."""
+def links(fps: DataFrame, most: int = MOST, tables: common.Passing | None = None) -> DataFrame:
+    """Edges a < b among distinct fingerprints (column fp); their components are those of all links. tables: what holds them, if they are to be dropped."""
     if most > MOST:
         raise ValueError(f"the grid serves up to {MOST} bits")
 
@@ -354,7 +371,7 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     own = fps.select("fp").distinct()
     posted = common.map_batches(own, post, "key long, fp long")
     posted = posted.repartition(common.partitions_for(fps), "key").sortWithinPartitions("key")
-    return common.written(common.map_partitions(posted, join, "a long, b long"), "simhash-edges").distinct()
+    return (tables.written if tables else common.written)(common.map_partitions(posted, join, "a long, b long"), "simhash-edges").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -451,25 +468,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables.ended()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [shingle_set(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        cols = [pa.array([set_class(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())]
+        own, fps = zip(*(set_and_fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()), strict=True)
+        cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([set_class(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())]
         cols += [pa.array([sketch(x).tobytes() for x in own], pa.binary()), pa.array([prefix(x, *ordered.value).tobytes() for x in own], pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "ta", "tb", "cls", "size", "fp", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], ["doc_id", "ta", "tb", "simhash", "cls", "size", "fp", "prefix"])
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
         n = [len(x) for x in keys]
-        owners, sizes = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+        each = [np.repeat(batch.column(k).to_numpy(), n) for k in range(3)]
         places = np.concatenate([np.arange(k) for k in n])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), owners, sizes, places)], ["key", "cls", "size", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *each, places)], ["key", "cls", "grp", "size", "place"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             same = np.diff(batch.column(0).to_numpy()) == 0
             batch = batch.filter(pa.array(np.append(same, False) | np.append(False, same)))
-            keys, sizes, places = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            keys, groups, sizes, places = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
             by = np.lexsort((sizes, keys))
-            on = by[may_meet(keys[by], sizes[by], places[by])]
+            on = by[may_meet(keys[by], sizes[by], places[by], groups[by])]
             yield batch.select(["key", "cls"]).take(pa.array(np.sort(on)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,17 +502,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n = common.partitions_for(docs)
     keyed = docs.select("*", *(k.alias(c) for k, c in zip(common.text_key(F.col("text")), ("ta", "tb"), strict=True)))
-    own = tables.written(common.map_batches(keyed, sets, "doc_id long, ta long, tb long, cls long, size long, fp binary, prefix binary"), "near-sets")
-    several = common.holder(own.groupBy("cls").count().where("count > 1").select("cls"))([F.col("cls")])
-    prefixes = own.select("cls", "size", "prefix")  # few rows share their class, so only those are shuffled
-    prefixes = prefixes.where(~several).unionByName(prefixes.where(several).dropDuplicates(["cls"]))
-    posted = common.map_batches(prefixes, post, "key long, cls long, size long, place long")
+    own = tables.written(common.map_batches(keyed, sets, "doc_id long, ta long, tb long, simhash long, cls long, size long, fp binary, prefix binary"), "near-sets")
+    groups = simhash_groups(own, tables)
+    tables.ended()
+    several = own.groupBy("cls").count().where("count > 1").select("cls").unionByName(groups.select("cls")).distinct()
+    several = common.holder(several)([F.col("cls")])
+    prefixes = own.select("cls", "size", "prefix")  # few rows share their class or group, so only those are shuffled
+    grouped_ones = prefixes.where(several).dropDuplicates(["cls"]).join(groups, "cls", "left")
+    prefixes = prefixes.where(~several).withColumn("grp", F.col("cls")).unionByName(grouped_ones.withColumn("grp", F.coalesce("grp", "cls")))
+    posted = common.map_batches(prefixes.select("cls", "grp", "size", "prefix"), post, "key long, cls long, grp long, size long, place long")
     posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long")
     posted = tables.written(posted, "near-posts")
     tables.ended()
     sketches = own.select("cls", "size", "fp").dropDuplicates(["cls"])
     posted = posted.join(sketches, "cls").select("key", "cls", "size", "fp").repartition(n, "key").sortWithinPartitions("key")
-    found = tables.written(common.map_partitions(posted, candidates, "a long, b long").distinct(), "near-candidates")
+    found = common.map_partitions(posted, candidates, "a long, b long")
+    found = found.unionByName(groups.where("grp < cls").select(F.col("grp").alias("a"), F.col("cls").alias("b")))
+    found = tables.written(found.distinct(), "near-candidates")
     own = tables.written(own.select("doc_id", "ta", "tb", "cls", "size"), "near-rows")
     tables.drop("near-sets", "near-posts")
     classes = tables.written(own.groupBy("cls").agg(F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ta", "tb")).alias("least")), "near-classes")
@@ -510,6 +533,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", "ta", "tb", F.col("stays.doc_id").alias("component_id"), stays.alias("stays"))
 
 
+def simhash_groups(own: DataFrame, tables: common.Passing) -> DataFrame:
+    """cls, grp of every class whose fingerprint (column simhash) hangs together with another class's: grp is the least class of them.
+
+    Texts with one shingle set may repeat its shingles differently; the least of their fingerprints counts.
+    """
+    fps = tables.written(own.groupBy("cls").agg(F.min("simhash").alias("fp")), "near-fps")
+    roots = components(links(fps, tables=tables))
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("cls", F.coalesce("root", "fp").alias("root"))
+    # written, as in near_duplicates
+    least = rooted.groupBy("root").agg(F.min("cls").alias("grp"), F.count("*").alias("n")).where("n > 1").select("root", "grp")
+    return tables.written(rooted.join(tables.written(least, "near-least"), "root").select("cls", "grp"), "near-groups")
+
+
 def edges_out(edges: np.ndarray) -> pa.RecordBatch:
     pairs = distinct(edges)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])

@@ -208,3 +208,26 @@ def test_near_stage_leaves_its_result_only(spark, docs):
     out = S.without_near_copies(d)
     assert {p.split("glyphmill-")[-1].rsplit("-", 1)[0] for p in set(K._made) - before} <= {"near-decided", "odd-keys", "cc"}
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+
+
+def test_near_stage_takes_candidates_from_fingerprints(docs, monkeypatch):
+    """Groups of the fingerprints' links, against all pairs; posts that meet none of another group go no further."""
+    rng, texts, seen, real = random.Random(8), [], [], S.simhash_groups
+    for g in range(20):
+        words = [f"w{g}x{rng.randrange(10**6)}" for _ in range(300)]
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k):
+                copy[rng.randrange(300)] = f"edit{k}"
+            texts.append(" ".join(copy))
+    texts += ["", "a b", "A  b", texts[0].upper()]
+    monkeypatch.setattr(S, "simhash_groups", lambda own, tables: seen.append(real(own, tables)) or seen[-1])
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs(list(enumerate(texts)))).collect()}
+    assert got == {i: i // 4 * 4 for i in range(80)} | {80: 80, 81: 81, 82: 81, 83: 0}
+    fp = {S.set_class(S.shingle_set(t.encode())): slow(t, 5) for t in texts}
+    links = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
+    want = roots(fp, links)
+    named = {r.cls: r.grp for r in seen[0].collect()}
+    assert len(links) > 20 and named == {c: want[c] for c in {x for e in links for x in e}}
+    run = [np.full(3, k) for k in (1, 100, 0)]
+    assert S.may_meet(*run, np.array([5, 5, 5])).tolist() == [False] * 3 and S.may_meet(*run, np.array([5, 5, 6])).all()
