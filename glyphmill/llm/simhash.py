@@ -41,6 +41,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -476,15 +477,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
         n = [len(x) for x in keys]
-        each = [np.repeat(batch.column(k).to_numpy(), n) for k in range(3)]
+        each = batch.select([0, 1, 2]).take(pa.array(np.repeat(np.arange(len(n)), n)))
         places = np.concatenate([np.arange(k) for k in n])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *each, places)], ["key", "cls", "grp", "size", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), each.column(0), each.column(1), pa.array(places), each.column(2)], ["key", "cls", "size", "place", "grp"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             same = np.diff(batch.column(0).to_numpy()) == 0
             batch = batch.filter(pa.array(np.append(same, False) | np.append(False, same)))
-            keys, groups, sizes, places = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
+            keys, sizes, places = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            groups = pc.coalesce(batch.column(4), batch.column(1)).to_numpy()
             by = np.lexsort((sizes, keys))
             on = by[may_meet(keys[by], sizes[by], places[by], groups[by])]
             yield batch.select(["key", "cls"]).take(pa.array(np.sort(on)))
@@ -509,8 +511,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = common.holder(several)([F.col("cls")])
     prefixes = own.select("cls", "size", "prefix")  # few rows share their class or group, so only those are shuffled
     grouped_ones = prefixes.where(several).dropDuplicates(["cls"]).join(groups, "cls", "left")
-    prefixes = prefixes.where(~several).withColumn("grp", F.col("cls")).unionByName(grouped_ones.withColumn("grp", F.coalesce("grp", "cls")))
-    posted = common.map_batches(prefixes.select("cls", "grp", "size", "prefix"), post, "key long, cls long, grp long, size long, place long")
+    prefixes = prefixes.where(~several).withColumn("grp", F.lit(None).cast("long")).unionByName(grouped_ones)
+    posted = common.map_batches(prefixes.select("cls", "size", "grp", "prefix"), post, "key long, cls long, size long, place long, grp long")
     posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long")
     posted = tables.written(posted, "near-posts")
     tables.ended()
