@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import Route
 from ..functions.geometry import Box
+from .spatial import spread
 
 KINDS = ("text", "diacritic", "rule", "blob", "noise")
 CELL = 64
@@ -68,7 +69,7 @@ def with_parent(small: DataFrame, parents: DataFrame, s: Route) -> DataFrame:
     p = p.select(F.col("page").alias("p_page"), F.col("id").alias("p_id"), *Box.of().columns("p_"), "p_gx", "p_gy")
     posted = small.withColumn("gx", cells(F.col("x"), F.col("x") + F.col("w"))).withColumn("gy", F.floor(F.col("y") / CELL).cast("int"))
     on = (F.col("page") == F.col("p_page")) & (F.col("gx") == F.col("p_gx")) & (F.col("gy") == F.col("p_gy"))
-    return posted.join(p, on & fits, "left_semi").select("page", "id").distinct()
+    return posted.join(spread(p), on & fits, "left_semi").select("page", "id").distinct()
 
 
 def scaled_pages(routed: DataFrame, page_area: int, s: Route) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from glyphmill.config import RunFilter
 from glyphmill.operators import matching as M
 from glyphmill.operators import reports as R
 from glyphmill.operators.spatial import overlap_join
+from glyphmill.plans.queries import QUERIES
 
 GT = "sample_id long, pos int, x int, y int, w int, h int"
 COMP = "sample_id long, id int, x int, y int, w int, h int, kind string"
@@ -142,3 +144,19 @@ def test_run_plan(spark):
 def test_markdown():
     assert R.pct(None) == "n/a" and R.pct(0.1234) == "12.3%"
     assert R.markdown_table(["a"], [[1]]) == "| a |\n|---|\n| 1 |"
+
+
+#: Queries that join rows exploded from texts with other rows.
+EXPLODED = ["aggregate_chars", "aggregate_words", "char_metrics", "char_outcomes", "char_pairs", "headline", "junk_components", "nested_form_words", "report_slices", "report_word_slices", "routing_by_capture", "small_retention", "word_coverage", "word_metrics", "manifest"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.parametrize("name", EXPLODED)
+def test_no_exploded_rows_are_broadcast(spark, name):
+    """By the plan, what is broadcast has at most a row a sample."""
+    below = lambda p: [p, *(x for i in range(p.children().size()) for x in below(p.children().apply(i)))]
+    for sent in below(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().initialPlan()):
+        under = below(sent)[1:] if sent.nodeName() == "BroadcastExchange" else []
+        if any(p.nodeName() == "Generate" for p in under):
+            top = next(p for p in under if p.nodeName() not in ("Project", "Filter"))
+            assert top.nodeName().endswith("Aggregate") and top.groupingExpressions().size() <= 1, sent.toString()[:2000]
