@@ -18,6 +18,8 @@ from .routing import KINDS, absolute, route_relative
 
 PAGE = "sample_id string, width int, height int, scale double, polarity_inverted boolean, recovered int"
 COMPONENT = "id int, x int, y int, w int, h int, pixel_area int, cx double, cy double, fill_ratio double"
+#: Components from which a batch ends.
+ROWS = 4096
 
 
 def decoded(image: Column) -> Column:
@@ -30,19 +32,26 @@ def label_images(images: DataFrame, s: Settings = Settings()) -> DataFrame:
     a null id for a page without any."""
     spec = images.select("sample_id", "height", "width", "n_channels", "data")
 
+    types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int32(), *[pa.int32()] * 6, *[pa.float64()] * 3]
+    names = [c.split()[0] for c in f"{PAGE}, {COMPONENT}".split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shape = (row["height"], row["width"], row["n_channels"])
-                image = np.frombuffer(row["data"], np.uint8).reshape(shape)
+            rows = []  # of several pages: a batch a page would cost more than a small page's kernels
+            for sample_id, height, width, n_channels, data in zip(*batch.columns, strict=True):
+                shape = (height.as_py(), width.as_py(), n_channels.as_py())
+                image = np.frombuffer(data.as_buffer(), np.uint8).reshape(shape)  # a view: a batch may hold many pages
                 facts, found = kernels.label_page(image[..., 0] if shape[2] == 1 else image, s)
-                cols = [[c[k] for c in found] or [None] for k in range(8)]
-                fill = [c[5] / (c[3] * c[4]) for c in found] or [None]
-                n = len(fill)
-                page = [[row["sample_id"]] * n, *([v] * n for v in facts.values())]
-                types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int32(), *[pa.int32()] * 6, *[pa.float64()] * 3]
-                names = ["sample_id", *facts, "id", "x", "y", "w", "h", "pixel_area", "cx", "cy", "fill_ratio"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*page, *cols, fill], types, strict=True)], names)
+                page = (sample_id.as_py(), *facts.values())
+                rows += [(*page, *c, c[5] / (c[3] * c[4])) for c in found] or [(*page, *[None] * 9)]
+                if len(rows) >= ROWS:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
 
     return spec.mapInArrow(run, f"{PAGE}, {COMPONENT}")
 

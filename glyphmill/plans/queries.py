@@ -559,6 +559,7 @@ def page_pipeline(spark, sf):
 def constant_pages(spark, sf):
     """End to end over pages whose boxes are known: a row of 13 bars of ink on each, as high as the page's number says."""
     d = D.table(spark, sf, "part").select("p_partkey", (4 + F.col("p_partkey") % 5).cast("int").alias("high"))
+    d = d.repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # keys of a few small files, each a page of pixels
     bar, gap = F.lit("00" * 3), F.lit("FF" * 5)
     inked = F.concat(gap, F.repeat(F.concat(bar, gap), 13))
     rows = F.concat(F.repeat(F.lit("FF" * 109), 20), F.array_join(F.array_repeat(inked, F.col("high")), ""), F.repeat(F.lit("FF" * 109), 20))
