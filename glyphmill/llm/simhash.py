@@ -63,6 +63,8 @@ SHORT_RUN = 24
 NEIGHBOURS = 256
 #: Join keys among which the edges of one node are dealt.
 SALTS = 32
+#: Bytes that a round of an exchange may take for each shingle of all texts, and at least. What would take more goes in rounds, each ended before the next, so disk follows the input.
+ROUND, LEAST_ROUND = 2, 1 << 28
 
 
 def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -489,7 +491,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             groups = pc.coalesce(batch.column(4), batch.column(1)).to_numpy()
             by = np.lexsort((sizes, keys))
             on = by[may_meet(keys[by], sizes[by], places[by], groups[by])]
-            yield batch.select(["key", "cls"]).take(pa.array(np.sort(on)))
+            yield batch.select(["key", "cls", "size"]).take(pa.array(np.sort(on)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((0, 2), np.int64)
@@ -513,18 +515,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped_ones = prefixes.where(several).dropDuplicates(["cls"]).join(groups, "cls", "left")
     prefixes = prefixes.where(~several).withColumn("grp", F.lit(None).cast("long")).unionByName(grouped_ones)
     posted = common.map_batches(prefixes.select("cls", "size", "grp", "prefix"), post, "key long, cls long, size long, place long, grp long")
-    posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long")
+    posted = common.map_partitions(posted.repartition(n, "key").sortWithinPartitions("key"), met, "key long, cls long, size long")
     posted = tables.written(posted, "near-posts")
     tables.ended()
-    sketches = own.select("cls", "size", "fp").dropDuplicates(["cls"])
-    posted = posted.join(sketches, "cls").select("key", "cls", "size", "fp").repartition(n, "key").sortWithinPartitions("key")
-    found = common.map_partitions(posted, candidates, "a long, b long")
-    found = found.unionByName(groups.where("grp < cls").select(F.col("grp").alias("a"), F.col("cls").alias("b")))
+    sketches = own.select("cls", "fp").dropDuplicates(["cls"])
+    budget = own.agg(F.sum("size")).first()[0]
+    sketched = posted.agg(F.sum(F.greatest(F.lit(8 * SKETCH), F.col("size") / 8) + 24)).first()[0]
+    rounds = rounds_for(sketched, budget)
+    found = groups.where("grp < cls").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
+    for r in range(rounds):
+        some = posted.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r).join(sketches, "cls").select("key", "cls", "size", "fp")
+        met_at = common.map_partitions(some.repartition(n, "key").sortWithinPartitions("key"), candidates, "a long, b long")
+        if rounds > 1:
+            met_at = tables.written(met_at, f"near-candidates-{r}")
+            tables.ended()
+        found = found.unionByName(met_at)
     found = tables.written(found.distinct(), "near-candidates")
     own = tables.written(own.select("doc_id", "ta", "tb", "cls", "size"), "near-rows")
-    tables.drop("near-sets", "near-posts")
+    tables.drop("near-sets", "near-posts", *(f"near-candidates-{r}" for r in range(rounds) if rounds > 1))
     classes = tables.written(own.groupBy("cls").agg(F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ta", "tb")).alias("least")), "near-classes")
-    edges = true_links(found, classes.select("cls", "size", "least.ta", "least.tb"), keyed.select("text", "ta", "tb"), shingle, part, tables)
+    edges = true_links(found, classes.select("cls", "size", "least.ta", "least.tb"), keyed.select("text", "ta", "tb"), shingle, part, tables, budget)
     roots = components(edges)
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     # written, so that the join reads a plain exchange, which adaptive execution splits where one component is most of the rows
@@ -548,6 +558,11 @@ def simhash_groups(own: DataFrame, tables: common.Passing) -> DataFrame:
     return tables.written(rooted.join(tables.written(least, "near-least"), "root").select("cls", "grp"), "near-groups")
 
 
+def rounds_for(total: float | None, shingles: int | None) -> int:
+    """Rounds of an exchange of total bytes, where all texts have so many shingles."""
+    return max(1, -(-int(total or 0) // max(LEAST_ROUND, ROUND * (shingles or 0))))
+
+
 def edges_out(edges: np.ndarray) -> pa.RecordBatch:
     pairs = distinct(edges)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -559,10 +574,11 @@ def forest_of(members: list[tuple[int, np.ndarray]], joined: int = 0) -> pa.Reco
     return edges_out(np.array([c for c, _ in members], np.int64)[found])
 
 
-def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, part: int, tables: common.Passing) -> DataFrame:
+def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, part: int, tables: common.Passing, shingles: int | None) -> DataFrame:
     """Edges a < b among classes of shingle sets, whose components are those of all links within components of candidates.
 
     found: candidate edges a, b. classes: cls, size, ta, tb (the key of a text of the class). texts: text, ta, tb.
+    shingles: how many all texts have.
     """
     n = common.partitions_for(found)
     roots = components(found)
@@ -627,12 +643,20 @@ def true_links(found: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     all_of = big.join(open_parts, "root").join(state, "cls", "left").select("root", "cls", "own", "parts", "open_parts", F.coalesce("joined", F.lit(True)).alias("joined"))
     of_part = lambda c: F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.col(c))).cast("int")
     across = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col(c)) - 1))
+    all_of = tables.written(all_of, "near-large")
+    tables.drop("near-members")
     left = all_of.where("not joined").select("root", of_part("open_parts").alias("i"), across("parts").alias("j"), "joined", "cls", "own")
     right = all_of.select("root", across("open_parts").alias("i"), of_part("parts").alias("j"), "joined", "cls", "own")
-    pairs = left.unionByName(right).repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    crossed = tables.written(common.map_partitions(pairs, parts_meet, "a long, b long"), "near-crossed")
-    tables.drop("near-members")
-    return edges.unionByName(star).unionByName(crossed).distinct()
+    pairs = left.unionByName(right)
+    # a set goes to each part of the other side: the one exchange that may grow with the square of a component
+    sent = all_of.agg(F.sum((F.length("own") + 40) * (F.col("open_parts") + F.when(F.col("joined"), 0).otherwise(F.col("parts"))))).first()[0]
+    rounds, crossed = rounds_for(sent, shingles), edges.unionByName(star)
+    for r in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("root", "i", "j"), F.lit(rounds)) == r).repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+        crossed = crossed.unionByName(tables.written(common.map_partitions(some, parts_meet, "a long, b long"), f"near-crossed-{r}"))
+        tables.ended()
+    tables.drop("near-large")
+    return crossed.distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:

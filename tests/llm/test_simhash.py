@@ -231,3 +231,24 @@ def test_near_stage_takes_candidates_from_fingerprints(docs, monkeypatch):
     assert len(links) > 20 and named == {c: want[c] for c in {x for e in links for x in e}}
     run = [np.full(3, k) for k in (1, 100, 0)]
     assert S.may_meet(*run, np.array([5, 5, 5])).tolist() == [False] * 3 and S.may_meet(*run, np.array([5, 5, 6])).all()
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    """Exchanges that would outgrow the input go in rounds, with the same groups."""
+    assert [S.rounds_for(x, n) for x, n in ((None, None), (0, 5), (S.LEAST_ROUND, 0), (10 * S.LEAST_ROUND, 0), (12e9, 10**9))] == [1, 1, 1, 10, 6]
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(12)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = lambda: {(r.doc_id, r.component_id) for r in S.similar_groups(docs, part=64).collect()}
+    whole = groups()
+    made, written = [], K.Passing.written
+    monkeypatch.setattr(S, "rounds_for", lambda total, shingles: 2)
+    monkeypatch.setattr(K.Passing, "written", lambda self, df, name: made.append(name) or written(self, df, name))
+    assert groups() == whole
+    assert {"near-candidates-1", "near-crossed-1"} <= set(made)
