@@ -78,6 +78,17 @@ def run_pages(images: DataFrame, s: Settings = Settings()) -> DataFrame:
     return routed.select(F.col("page").alias("sample_id"), "id", *cols, (F.col("cx") * back).alias("cx"), (F.col("cy") * back).alias("cy"), "pixel_area", "fill_ratio", "kind", "reason", "scale", "polarity_inverted", "recovered")
 
 
+def page_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page, rank, id, pixel_area of each page's inverted candidates; batches of (page, array of (id, x, y, w, h, pixel_area))."""
+    for batch in batches:
+        rows = []
+        for page, found in zip(*batch.columns, strict=True):  # one page at a time as Python objects: a batch holds thousands
+            good = kernels.inverted_candidates([*zip(*(c.to_pylist() for c in found.values.flatten()), strict=True)], 1_000_000)
+            rows += [(page.as_py(), k + 1, c[0], c[5]) for k, c in enumerate(good)]
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["page", "rank", "id", "pixel_area"])
+
+
 def per_image(rasters: DataFrame, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """Rows that a kernel makes of each raster of (image, w, v array): image and the columns of schema."""
     names = [x.split()[0] for x in schema.split(", ")]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -483,16 +482,7 @@ def inverted_candidates(spark, sf):
     boxes = _boxes(spark, sf).select("page", F.struct("id", *"xywh", "pixel_area").alias("c"))
     packed = boxes.groupBy("page").agg(F.collect_list("c").alias("c"))  # a page has some 160 boxes
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                good = K.inverted_candidates([tuple(c.values()) for c in found], 1_000_000)
-                rows += [(page, k + 1, c[0], c[5]) for k, c in enumerate(good)]
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["page", "rank", "id", "pixel_area"])
-
-    return packed.mapInArrow(run, "page long, rank long, id long, pixel_area long")
+    return packed.mapInArrow(raster.page_candidates, "page long, rank long, id long, pixel_area long")
 
 
 @query
