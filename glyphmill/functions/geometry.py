@@ -130,6 +130,16 @@ def dpi_bucket(dpi: Column) -> Column:
     return F.when(dpi < 100, "<100").when(dpi < 150, "100-149").when(dpi < 250, "150-249").otherwise(">=250")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once: the optimizer copies a column's expression to each of its uses, but not into a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def kept(value: Column) -> Column:
+    """Fields of a struct as columns, for a select; rows where it is null drop out. A filter and fields apart would work the struct out for each."""
+    return F.inline(F.filter(F.array(value), lambda v: v.isNotNull()))
+
+
 def homography_box(a: Box, m: list[Column], width: Column, height: Column) -> Column:
     """The enclosing box of the four mapped corners, clipped to the page, as struct<x, y, w, h>; null where less than
     a pixel or less than 0.4 of it is left. m: nine columns, row by row."""
@@ -138,8 +148,11 @@ def homography_box(a: Box, m: list[Column], width: Column, height: Column) -> Co
         return (m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z
 
     corners = [at(x, y) for x, y in ((a.x, a.y), (a.x2, a.y), (a.x2, a.y2), (a.x, a.y2))]
-    x0, x1 = F.least(*(c[0] for c in corners)), F.greatest(*(c[0] for c in corners))
-    y0, y1 = F.least(*(c[1] for c in corners)), F.greatest(*(c[1] for c in corners))
+    ends = F.struct(*(f(*(c[k] for c in corners)).alias(n) for n, f, k in (("x0", F.least, 0), ("x1", F.greatest, 0), ("y0", F.least, 1), ("y1", F.greatest, 1))))
+    return let(ends, lambda e: _clipped(e["x0"], e["x1"], e["y0"], e["y1"], width, height))
+
+
+def _clipped(x0: Column, x1: Column, y0: Column, y1: Column, width: Column, height: Column) -> Column:
     cx0, cy0 = F.greatest(F.lit(0.0), x0), F.greatest(F.lit(0.0), y0)
     cx1, cy1 = F.least(width.cast("double"), x1), F.least(height.cast("double"), y1)
     cw, ch = cx1 - cx0, cy1 - cy0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.geometry import Box, homography_box
+from ..functions.geometry import Box, homography_box, kept
 
 #: Capture profiles (capture, rotation, perspective, blur, noise, illumination, quality, least and most scale, moire).
 PROFILES = {
@@ -76,8 +76,7 @@ def degrade_boxes(boxes: DataFrame, matrices: DataFrame, width: int, height: int
     m = matrices.withColumnRenamed("sample_id", "_id")
     d = boxes.join(m, F.col("sample_id") == F.col("_id"))
     moved = homography_box(Box.of(), [F.col(f"m{i}") for i in range(9)], F.lit(width), F.lit(height))
-    d = d.withColumn("_b", moved).where("_b is not null")
-    return d.select(*(c for c in boxes.columns if c not in "xywh"), *(F.col(f"_b.{n}").alias(n) for n in "xywh"))
+    return d.select(*(c for c in boxes.columns if c not in "xywh"), kept(moved))
 
 
 def rotation_matrices(samples: DataFrame, width: int, height: int) -> DataFrame:

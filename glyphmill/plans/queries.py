@@ -327,7 +327,8 @@ def _receipts(spark, sf):
 
 
 def _flat(d: DataFrame, id_col: str, array: str) -> DataFrame:
-    r = d.select(id_col, F.posexplode(array).alias("i", "g"))
+    # outer, as the optimizer puts a filter on size below a plain one, which works the array out a second time
+    r = d.select(id_col, F.posexplode_outer(array).alias("i", "g")).where("i is not null")
     return r.select(id_col, "i", *(F.get("g.bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh")), F.col("g.text").alias("text"), F.col("g.type").alias("type"))
 
 
@@ -630,7 +631,7 @@ def homography_boxes(spark, sf):
     b = _boxes(spark, sf)
     m = [0.9, 0.1, -20.0, -0.05, 1.1, 15.0, 1e-4, 5e-5, 1.0]
     moved = G.homography_box(Box.of(), [F.lit(v) for v in m], F.lit(900), F.lit(800))
-    return b.select("page", "id", moved.alias("m")).where("m is not null").select("page", "id", *(F.col(f"m.{n}").alias(n) for n in "xywh"))
+    return b.select("page", "id", G.kept(moved))
 
 
 @query

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,13 @@ def test_homography(spark, m, expected):
 def test_buckets_and_kernels(spark):
     assert [one(spark, G.dpi_bucket(F.lit(d)))[0] for d in (0, 99, 100, 149, 150, 249, 250)] == ["<100", "<100", "100-149", "100-149", "150-249", "150-249", ">=250"]
     assert [one(spark, G.kernel_size(F.lit(n)))[0] for n in (10, 1600, 1650, 3000)] == [31, 33, 33, 61]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.parametrize("name, part, most", [("homography_boxes", "5.0E-5", 16), ("zipped_boxes", "0.5 * cast", 16), ("field_boxes", "% 200", 6)])
+def test_boxes_are_worked_out_once(spark, name, part, most):
+    """A corner's expression stands in the plan once for each of a box's ends, not again for each use and filter."""
+    from glyphmill.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(part) <= most, plan.count(part)
