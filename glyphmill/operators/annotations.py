@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import from_corners, from_points
+from ..functions.geometry import from_corners, from_points, let
 from ..functions.schemas import BOX, BOXES, CHAR, SAMPLE
 
 #: Fields of a cheque and the types they map to.
@@ -18,11 +18,6 @@ EXPECTED = {"synth": 150, "sroie": 40, "funsd": 25, "cheque": 30}
 SHARES = {"sroie": 0.16, "funsd": 0.10, "cheque": 0.10}
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is evaluated once: the optimizer copies a column's expression to each of its uses, but not into a lambda's variable."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def gt_box(bbox: Column, text: Column | None = None, kind: Column | str = "") -> Column:
     return F.struct(bbox.cast("array<int>").alias("bbox"), F.coalesce(text if text is not None else F.lit(""), F.lit("")).alias("text"), F.coalesce(F.lit(kind) if isinstance(kind, str) else kind, F.lit("")).alias("type")).cast(BOX)
 
@@ -92,7 +87,7 @@ def from_forms(rows: DataFrame) -> DataFrame:
 
 def field_boxes(fields: dict[str, Column]) -> Column:
     """Boxes of the fields that have one, their type by the field; corners are cut to whole numbers."""
-    corners = lambda c: from_corners(F.array(c["xmin"], c["ymin"], c["xmax"], c["ymax"]), truncate=True)
+    corners = lambda c: let(F.array(c["xmin"], c["ymin"], c["xmax"], c["ymax"]), lambda v: from_corners(v, truncate=True))
     return F.filter(F.array(*(gt_box(corners(c), None, CHEQUE_FIELDS[f]) for f, c in fields.items())), lambda g: g["bbox"].isNotNull())
 
 
